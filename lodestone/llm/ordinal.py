@@ -5,7 +5,7 @@ sigmoid(threshold[k] - score), with ordered thresholds. A document gets its expe
 top grade; it is selected where that tail probability reaches ``cut``.
 
 The model is fitted on at most SAMPLE labelled rows (those of least hash, a documented bound) with full-batch Adam on
-the driver, and scores whole texts of all rows: its features are the set of words (lower case, letters and digits) and
+the driver, and scores whole texts of all rows: its features are words (lower case, letters and digits; 1 + log of the count) and
 the shares of token shapes, repetition and length.
 
 Nulls and empty texts have the features of no words. Rows without a rating aren't fitted; without any labelled row
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, WORD_BITS, SHAPE_BITS, EPOCHS, RATE, SPARSE, RIDGE, LEAST_DOCS, CUT = 8000, 17, 12, 400, 0.1, 5e-3, 1e-5, 4, 0.5
+SAMPLE, WORD_BITS, SHAPE_BITS, EPOCHS, RATE, SPARSE, LEAST_DOCS, LEAST_WEIGHT, CUT = 8000, 17, 12, 250, 0.1, 4e-3, 4, 0.1, 0.5
 WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 SHAPE_SCALE = 8.0
 
@@ -59,16 +59,17 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots and their values."""
     counts = Counter((text or "").split())
     n, known = sum(counts.values()), [_slots[t] for t in counts]
-    words = {w for w, _ in known}
-    words.discard(-1)
+    words: dict[int, int] = {}
     shapes: dict[int, float] = {}
-    for (_, s), k in zip(known, counts.values()):
+    for (w, s), k in zip(known, counts.values()):
+        words[w] = words.get(w, 0) + k
         shapes[s] = shapes.get(s, 0.0) + SHAPE_SCALE * k / n
+    words.pop(-1, None)
     distinct, most = (len(counts) / n, max(counts.values()) / n) if n else (0.0, 0.0)
     for name in (f"length {n.bit_length()}", f"distinct {int(distinct * 10)}", f"most {int(most * 10)}"):
         slot = (1 << WORD_BITS) + _slot(name, SHAPE_BITS)
         shapes[slot] = shapes.get(slot, 0.0) + 1.0
-    return np.array([*words, *shapes], "i4"), np.array([*[1.0] * len(words), *shapes.values()], "f4")
+    return np.array([*words, *shapes], "i4"), np.concatenate([1 + np.log(np.array([*words.values()], "f4")), np.array([*shapes.values()], "f4")])
 
 
 @dataclass
@@ -81,8 +82,39 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - np.asarray(score)[..., None], -60, 60)))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _cuts(steps: np.ndarray) -> np.ndarray:
+    """Thresholds from the first and the logs of the steps up, which keep them in order."""
+    return np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
+
+
+def _descend(y, column, values, owner, theta: np.ndarray, sparse: float, grades: int) -> np.ndarray:
+    """Full-batch Adam from theta (weights, then thresholds' steps) on the mean negative log likelihood, with an L1 penalty."""
+    theta, n, d = theta.copy(), len(y), len(theta) - grades + 1
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    last = grades - 2
+    for step in range(1, EPOCHS + 1):
+        w, cuts = theta[:d].copy(), _cuts(theta[d:])
+        score = np.bincount(owner, values * w[column], n)
+        upper = np.where(y <= last, _sigmoid(cuts[np.minimum(y, last)] - score), 1.0)
+        lower = np.where(y > 0, _sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
+        p = np.maximum(upper - lower, 1e-9)
+        up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
+        by_cut = (np.bincount(np.maximum(y - 1, 0), low, grades - 1) - np.bincount(np.minimum(y, last), up, grades - 1)) / n
+        slope = np.bincount(column, values * (up - low)[owner], d) / n
+        slope = np.where(w != 0, slope + sparse * np.sign(w), slope - np.clip(slope, -sparse, sparse))
+        slope = np.concatenate([slope, [by_cut.sum()], np.exp(theta[d + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]])
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        theta -= RATE * min(1, 2 * (1 - step / (EPOCHS + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta[:d][theta[:d] * w < 0] = 0  # no step leads across zero
+    return theta
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Model:
-    """Maximum likelihood in two halves: one with an L1 penalty, which leaves few slots, so that words of a few rows
+    """Maximum likelihood in two descents: one with an L1 penalty, which leaves few slots, so that words of a few rows
     don't learn those rows by heart; then those slots alone, almost without it. Slots in fewer than LEAST_DOCS rows keep
     weight zero."""
     if not rows:
@@ -90,38 +122,19 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Model:
     y = np.array([r[0] for r in rows])
     slots, values = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype("f8")
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    used = np.flatnonzero(np.bincount(slots, minlength=WIDTH) >= LEAST_DOCS)
-    place = np.full(WIDTH, -1)
-    place[used] = np.arange(len(used))
-    keep = place[slots] >= 0
-    column, values, owner = place[slots[keep]], values[keep], owner[keep]
     share = np.clip([np.mean(y < k) for k in range(1, grades)], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
-    # thresholds as the first and logs of the steps up, so that they stay in order
-    theta = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    d = len(used)
-    for step in range(1, EPOCHS + 1):
-        cuts = np.concatenate([theta[d : d + 1], theta[d] + np.cumsum(np.exp(theta[d + 1 :]))])
-        score = np.bincount(owner, values * theta[column], len(rows))
-        upper = np.where(y < grades - 1, sigmoid(cuts[np.minimum(y, grades - 2)] - score), 1.0)
-        lower = np.where(y > 0, sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
-        p = np.maximum(upper - lower, 1e-9)
-        up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-        by_cut = np.bincount(np.maximum(y - 1, 0), low, grades - 1) - np.bincount(np.minimum(y, grades - 2), up, grades - 1)
-        slope = np.concatenate([np.bincount(column, values * (up - low)[owner], d), [by_cut.sum()], np.exp(theta[d + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]]) / len(rows)
-        w = theta[:d].copy()
-        if 2 * step <= EPOCHS:
-            slope[:d] = np.where(w != 0, slope[:d] + SPARSE * np.sign(w) + RIDGE * w, slope[:d] - np.clip(slope[:d], -SPARSE, SPARSE))
-        else:
-            slope[:d] = np.where(w != 0, slope[:d] + SPARSE / 20 * np.sign(w) + RIDGE * w, 0)
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        theta -= RATE * min(1, 2 * (1 - step / (EPOCHS + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        theta[:d][theta[:d] * w < 0] = 0  # no step leads across zero
-    weights = np.zeros(WIDTH)
-    weights[used] = theta[:d]
-    return Model(weights, np.concatenate([theta[d : d + 1], theta[d] + np.cumsum(np.exp(theta[d + 1 :]))]))
+    steps = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
+    used, weights = np.flatnonzero(np.bincount(slots, minlength=WIDTH) >= LEAST_DOCS), np.zeros(WIDTH)
+    for sparse in (SPARSE, SPARSE / 50):
+        place = np.full(WIDTH, -1)
+        place[used] = np.arange(len(used))
+        keep = place[slots] >= 0
+        theta = _descend(y, place[slots[keep]], values[keep], owner[keep], np.concatenate([weights[used], steps]), sparse, grades)
+        weights[:] = 0
+        weights[used], steps = theta[: len(used)], theta[len(used) :]
+        used = np.flatnonzero(np.abs(weights) >= LEAST_WEIGHT)
+    return Model(weights, _cuts(steps))
 
 
 def graded(labels: DataFrame) -> DataFrame:
