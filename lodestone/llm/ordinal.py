@@ -5,7 +5,7 @@ sigmoid(threshold[k] - score), with ordered thresholds. A document gets its expe
 top grade; it is selected where that tail probability reaches ``cut``.
 
 The model is fitted on at most SAMPLE labelled rows (those of least hash, a documented bound) with full-batch Adam on
-the driver, and scores whole texts of all rows: its features are words (lower case, letters and digits; 1 + log of the count) and
+the driver, and scores whole texts of all rows: its features are the set of words (lower case, letters and digits) and
 the shares of token shapes, repetition and length.
 
 Nulls and empty texts have the features of no words. Rows without a rating aren't fitted; without any labelled row
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, WORD_BITS, SHAPE_BITS, EPOCHS, RATE, SPARSE, LEAST_DOCS, LEAST_WEIGHT, CUT = 8000, 17, 12, 250, 0.1, 4e-3, 4, 0.1, 0.5
+SAMPLE, WORD_BITS, SHAPE_BITS, EPOCHS, RATE, SPARSE, LEAST_DOCS, LEAST_WEIGHT, CUT = 8000, 17, 12, 250, 0.1, 4e-3, 4, 0.1, 0.7
 WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 SHAPE_SCALE = 8.0
 
@@ -59,17 +59,16 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots and their values."""
     counts = Counter((text or "").split())
     n, known = sum(counts.values()), [_slots[t] for t in counts]
-    words: dict[int, int] = {}
+    words = {w for w, _ in known}
+    words.discard(-1)
     shapes: dict[int, float] = {}
-    for (w, s), k in zip(known, counts.values()):
-        words[w] = words.get(w, 0) + k
+    for (_, s), k in zip(known, counts.values()):
         shapes[s] = shapes.get(s, 0.0) + SHAPE_SCALE * k / n
-    words.pop(-1, None)
     distinct, most = (len(counts) / n, max(counts.values()) / n) if n else (0.0, 0.0)
     for name in (f"length {n.bit_length()}", f"distinct {int(distinct * 10)}", f"most {int(most * 10)}"):
         slot = (1 << WORD_BITS) + _slot(name, SHAPE_BITS)
         shapes[slot] = shapes.get(slot, 0.0) + 1.0
-    return np.array([*words, *shapes], "i4"), np.concatenate([1 + np.log(np.array([*words.values()], "f4")), np.array([*shapes.values()], "f4")])
+    return np.array([*words, *shapes], "i4"), np.array([*[1.0] * len(words), *shapes.values()], "f4")
 
 
 @dataclass
