@@ -311,7 +311,9 @@ def remove(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def deduplicate(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = 4096) -> DataFrame:
-    """docs with ``spans`` (array of structs a, z: removed bytes) and ``kept`` (the remaining bytes) for each row."""
+    """docs with ``spans`` (array of structs a, z: removed bytes) and ``kept`` (the remaining bytes) for each row; they
+    replace columns of these names."""
+    docs = docs.drop("spans", "kept")
     spans = repeated_intervals(docs, text, length, hot).groupBy("text_key").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     own = [f"_{i}" for i in range(len(docs.columns))]  # whatever the columns are called, ours don't clash
     keyed = docs.toDF(*own).withColumn("_key", F.unhex(F.md5(F.coalesce(own[docs.columns.index(text)], F.lit("")))))
