@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import os
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ def entries(root: str, config: ScanConfig, deep: bool) -> Iterator[dict]:
 
 
 _ENTRY = "name string, path string, type int, size long, mod_time long, inode long, dev_id int, error string"
+_ARROW = pa.schema([("name", pa.string()), ("path", pa.string()), ("type", pa.int32()), ("size", pa.int64()), ("mod_time", pa.int64()), ("inode", pa.int64()), ("dev_id", pa.int32()), ("error", pa.string())])
 
 
 def scan(spark: SparkSession, config: ScanConfig) -> DataFrame:
@@ -90,19 +92,19 @@ def scan(spark: SparkSession, config: ScanConfig) -> DataFrame:
     """
 
     def listing(deep: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [c.split()[0] for c in _ENTRY.split(", ")]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for directory in b["directory"]:
-                    rows = pd.DataFrame(list(entries(directory, config, deep)), columns=names)
-                    yield rows.astype({c: "Int64" for c in ("type", "size", "mod_time", "inode", "dev_id")})
+                for directory in b.column("directory").to_pylist():
+                    found = entries(directory, config, deep)
+                    while rows := list(itertools.islice(found, 10_000)):
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
         return run
 
     roots = spark.createDataFrame([(r,) for r in config.roots], "directory string")
-    top = roots.repartition(max(1, len(config.roots))).mapInPandas(listing(False), _ENTRY)
+    top = roots.repartition(max(1, len(config.roots))).mapInArrow(listing(False), _ENTRY)
     inner = top.filter(F.col("type").isin([DIRECTORY, BUNDLE] if config.bundles else [DIRECTORY])).select(text.full_path(F.col("path"), F.col("name")).alias("directory"))
-    found = top.unionAll(inner.repartition("directory").mapInPandas(listing(True), _ENTRY))
+    found = top.unionAll(inner.repartition("directory").mapInArrow(listing(True), _ENTRY))
     directory = F.col("type").isin(DIRECTORY, BUNDLE)
     once = found.filter(directory).groupBy("dev_id", "inode").agg(F.min_by(F.struct(*found.columns), "path").alias("r")).select("r.*")
     whole = found.filter(~directory | F.col("error").isNotNull()).unionByName(once)
