@@ -23,7 +23,7 @@ FILE, DIRECTORY, SYMLINK, OTHER, BUNDLE, TOMBSTONE = 1, 2, 3, 4, 5, 0
 LARGEST = (1 << 63) - 1
 _UNITS = {"k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
 _TIMES = frozenset(("dm", "datemodified", "dc", "datecreated", "da", "dateaccessed"))
-_MARKER = re.compile(r"\(\?mace:([^)]*)\)")
+_MARKER = re.compile(r"\(\?[a-z]{2,}:([^)]*)\)")
 
 
 def amount(text: str) -> int:
@@ -48,7 +48,7 @@ def extensions(argument: str) -> Node:
 
 
 def regex(argument: str) -> Node:
-    """A pattern; an option marker in front of it sets case, whole words and names only."""
+    """A pattern; an option marker in front of it, ``(?name:options)`` of any name, sets case, whole words and names only."""
     if marker := _MARKER.match(argument):
         flags = {f for f in marker[1].split(",") if f}
         if flags <= {"case", "ww", "wfn"}:

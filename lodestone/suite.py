@@ -84,7 +84,7 @@ _hits("glob_generic", A, "*ring_??4.h", "nl like '%ring$___4.h' escape '$'", [])
 _hits("glob_path", A, "*/promo/*", "p like '%/promo/%'", [])
 _hits("regex_name", A, r"regex:^red.*\.h$", r"regexp_matches(nl, '(?i)^red.*\.h$') or regexp_matches(p, '(?i)^red.*\.h$')", [])
 _hits("regex_path", A, "regex:brand_1.*/economy", "regexp_matches(nl, '(?i)brand_1.*/economy') or regexp_matches(p, '(?i)brand_1.*/economy')", [])
-_hits("regex_options", A, "regex:(?mace:case,ww,wfn)Red", r"regexp_matches(name, '\b(?:Red)\b')", [])
+_hits("regex_options", A, "regex:(?options:case,ww,wfn)Red", r"regexp_matches(name, '\b(?:Red)\b')", [])
 _hits("regex_invalid", A, "regex:(", "false", [])
 _hits("whole_word", A, "ww:ring", "regexp_matches(nl, '(^|[^0-9a-z])ring([^0-9a-z]|$)')", [])
 _hits("whole_filename", A, "wfn:size11", "nl = 'size11'", [])

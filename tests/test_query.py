@@ -60,8 +60,8 @@ def test_numbers():
 def test_filters():
     assert parse("ext:CPP;;h") == n.Ext(("cpp", "h")) and parse("type:Dir") == n.TypeIs(2) and parse("type:x") == n.TypeIs(None)
     assert parse("case:Ab") == n.Term("Ab", case_sensitive=True)
-    assert parse("regex:(?mace:ww,case)x") == n.Term(r"\b(?:x)\b", n.REGEX, True)
-    assert parse("regex:(?mace:no)x") == n.Term("(?mace:no)x", n.REGEX)
+    assert parse("regex:(?options:ww,case)x") == n.Term(r"\b(?:x)\b", n.REGEX, True)
+    assert parse("regex:(?options:no)x") == n.Term("(?options:no)x", n.REGEX)
     assert parse("zip:ignored") == n.Ext(tuple(filters.MACROS["zip"].split(";")))
     assert parse("nopath:A") == n.PathHas("a", negated=True) and parse("content:x") == n.Never()
 
