@@ -46,7 +46,7 @@ def test_one_of_each_group_stays(spark, crowd):
     tight, loose = groups(texts)
     # whatever is less alike than 0.7 stays; of what is 0.8 alike, all but a few in a hundred leave one
     assert {i for i, r in enumerate(loose) if r == i} <= kept
-    assert len(kept) - len(set(tight)) <= 0.03 * len(texts)
+    assert len(kept) - len(set(tight)) <= 0.02 * len(texts)
     assert {0, 1, 2} <= kept and sum(i in kept for i in range(len(texts) - 5, len(texts))) == 3
 
 
@@ -57,7 +57,7 @@ def test_odd_rows(spark):
 
 
 def test_bits_follow_similarity():
-    assert st.most_bits(100, 100, 1.0) == 0 and st.most_bits(10, 100, 0.8) < 0 and st.most_bits(0, 0, 0.8) == 0
+    assert st.most_bits(100, 100, 1.0 + st.MARGIN) == 0 and st.most_bits(10, 100, 0.8) < 0 and st.most_bits(0, 0, 0.8) == 0
     words = [f"w{i}" for i in range(600)]
     size, one = st.wide_fingerprint(" ".join(words))
     _, two = st.wide_fingerprint(" ".join(words[:300] + ["x"] + words[301:]))
