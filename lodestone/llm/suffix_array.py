@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import delete_path, fresh_path, materialise, text_or_empty
 
-LENGTH, GRAM, SEGMENT = 200, 32, 1 << 22
+LENGTH, GRAM, SEGMENT = 200, 32, 1 << 20
 RUNS = "key long, digest long, text_key binary, start long, n long"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
