@@ -1,5 +1,11 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -32,3 +38,11 @@ def test_like_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns[-1] == "rank"
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(suite.QUERIES) - set(suite.SQL) == {"highlight_ranges"}
+
+
+def test_without_the_optional_folders(tmp_path):
+    root = Path(entry.__file__).resolve().parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'term_and' in q and not any(k.startswith('op') for k in q)"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
