@@ -27,8 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has made in the shared folder.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Where a new table can be; it stays until clear() or until its owner deletes it."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this process; call it once results are written, as they read from them."""
+    while _made:
+        delete_path(spark, _made.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
