@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts may be long, so Arrow batches are shorter than Spark's 10,000 rows.
+BATCH_ROWS = 1000
 #: A word, as all contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +59,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most BATCH_ROWS whole texts at once; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bound_batches
+
 SAMPLE, WORD_BITS, SHAPE_BITS, EPOCHS, RATE, SPARSE, LEAST_DOCS, LEAST_WEIGHT, CUT = 8000, 17, 12, 250, 0.1, 4e-3, 4, 0.1, 0.7
 WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 SHAPE_SCALE = 8.0
@@ -45,7 +47,7 @@ class _Slots(dict):
     """Each token's word and shape slot; forgets all when it is full."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         word = re.sub(r"[\W_]+", "", token.lower())
         self[token] = out = (_slot(word, WORD_BITS) if word else -1, (1 << WORD_BITS) + _slot(f"shape {_shape(token)}", SHAPE_BITS))
@@ -144,6 +146,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` ratings (doc_id, grade) of docs (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     chosen = ratings.withColumn("h", F.xxhash64("doc_id", "grade")).orderBy("h", "doc_id", "grade").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # as many rows as the sample has
 
@@ -160,6 +163,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SA
 
 def classify(docs: DataFrame, model: Model, cut: float = CUT, text: str = "text") -> DataFrame:
     """docs with ``expected_grade``, ``tail_probability`` and ``selected``; clashing columns of docs are kept out."""
+    bound_batches(docs.sparkSession)
     weights, thresholds = model.weights.astype("f8"), model.thresholds
     own = docs.drop("expected_grade", "tail_probability", "selected")
     # the weights are WIDTH numbers, whatever the input

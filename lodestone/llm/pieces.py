@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, text_or_empty
+from lodestone.llm.common import bound_batches, materialise, text_or_empty
 
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 14, 64
 NEVER = float("-inf")
@@ -277,6 +277,7 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int, block: int) -> DataFram
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, ids, round_trip) of every row."""
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

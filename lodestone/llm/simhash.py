@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import bound_batches, materialise
 
 SEED = 42
 
@@ -150,6 +150,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, hot: int = 256) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; components of fingerprints at 2 or fewer differing bits."""
+    bound_batches(docs.sparkSession)
     with_fp = materialise(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words).select("doc_id", "fp"), "fingerprints")
     least = with_fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(with_fp.select("fp").distinct(), hot))

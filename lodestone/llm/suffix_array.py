@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import delete_path, fresh_path, materialise, text_or_empty
+from lodestone.llm.common import bound_batches, delete_path, fresh_path, materialise, text_or_empty
 
 LENGTH, GRAM, SEGMENT = 200, 32, 1 << 20
 RUNS = "key long, digest long, text_key binary, start long, n long"
@@ -263,6 +263,7 @@ def keyed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_intervals(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = 4096) -> DataFrame:
     """(text_key, a, z): intervals of bytes that go, overlapping, for each text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     where = fresh_path(spark, "runs")
     text_runs(docs, text, length).write.parquet(where)

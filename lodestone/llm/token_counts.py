@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh_path, text_or_empty
+from lodestone.llm.common import bound_batches, fresh_path, text_or_empty
 
 CACHE = T.StructType([T.StructField("text_digest", T.BinaryType()), T.StructField("tokenizer_digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
@@ -61,6 +61,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 def fill_cache(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> DataFrame:
     """Encode the distinct texts that the cache lacks, append them, and return the cache's rows of this tokenizer."""
     spark, digest = docs.sparkSession, tokenizer_digest(tokenizer)
+    bound_batches(spark)
     known = read_cache(spark, cache).filter(F.col("tokenizer_digest") == digest).select("text_digest")
     keyed = docs.select(F.unhex(F.sha2(text_or_empty(text), 256)).alias("text_digest"), text_or_empty(text).alias("text"))
     misses = keyed.join(known, "text_digest", "left_anti").dropDuplicates(["text_digest"])

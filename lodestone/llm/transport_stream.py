@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import bound_batches
+
 PACKET, BODY, SYNC = 188, 184, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM, PRIVATE_STREAM, PRIVATE_ID = 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
 UNIT, RAP_EVERY, TICKS, FIRST_PTS = 8192, 8, 3600, 90_000
@@ -184,6 +186,7 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     [b.column("doc_id").slice(i, 512), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
