@@ -64,3 +64,27 @@ def test_bits_follow_similarity():
     assert size == 596 and st.wide_fingerprint(None) == (0, bytes(st.WIDE // 8))
     differ = int(np.bitwise_count(np.frombuffer(one, "u8") ^ np.frombuffer(two, "u8")).sum())
     assert 0 < differ < st.most_bits(596, 596, 0.9)
+
+
+def edited(edits, n=150):
+    """Pairs of texts of 200 shingles, where so many edits change five shingles each."""
+    rng, out = random.Random(edits), []
+    for i in range(n):
+        base = [f"t{i}w{j}" for j in range(204)]
+        own = list(base)
+        for j in rng.sample(range(1, 39), edits):
+            own[5 * j] = f"edit{j}"
+        out += [" ".join(base), " ".join(own)]
+    return out
+
+
+def kept_of(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in st.keep_one(df, **more).collect()}
+
+
+@pytest.mark.parametrize("crowd", [200, 2])
+def test_every_link_at_the_threshold_is_found(spark, crowd):
+    texts = edited(4) + corpus()  # 180 of 220 shingles, 0.818
+    tight, _ = groups(texts)
+    assert kept_of(spark, texts, crowd=crowd) == set(tight)
