@@ -88,3 +88,8 @@ def test_every_link_at_the_threshold_is_found(spark, crowd):
     texts = edited(4) + corpus()  # 180 of 220 shingles, 0.818
     tight, _ = groups(texts)
     assert kept_of(spark, texts, crowd=crowd) == set(tight)
+
+
+def test_nothing_below_the_threshold_goes(spark):
+    texts = edited(5)  # 175 of 225 shingles, 0.778
+    assert kept_of(spark, texts) == set(range(len(texts)))
