@@ -93,3 +93,15 @@ def test_every_link_at_the_threshold_is_found(spark, crowd):
 def test_nothing_below_the_threshold_goes(spark):
     texts = edited(5)  # 175 of 225 shingles, 0.778
     assert kept_of(spark, texts) == set(range(len(texts)))
+
+
+def test_short_texts_like_brute_force(spark):
+    """Texts of 5 to 15 words, with a word appended, taken off the front or changed at an end or inside."""
+    rng, texts = random.Random(15), []
+    for i in range(300):
+        base = [f"s{i}w{j}" for j in range(rng.randint(5, 15))]
+        at = rng.randrange(len(base))
+        texts += [" ".join(x) for x in (base, rng.choice([[*base, "x"], base[1:], [*base[:-1], "x"], [*base[:at], "x", *base[at + 1 :]]]))]
+    tight, _ = groups(texts)
+    assert kept_of(spark, texts) == set(tight) and len(set(tight)) < len(texts) - 50
+    assert all(len(st.keys(st.shingle_set(t))) <= 3 for t in texts)  # few enough to be prefixes
