@@ -5,7 +5,8 @@ attribution lines ("... wrote:") in front of a deeper level belong to the quotat
 level-0 text. Quoted passages, their paragraphs and their lines are normalised (case folded, white space collapsed) and
 hashed, and joined by hash to the messages that said them: the earliest such message of the same conversation before
 the quoting one, or else the earliest of any other conversation. Many messages may say the same; a hash is reduced to
-one original for each conversation and one over all before the join, so a quotation meets two rows at most.
+one original for each conversation and to two over all before the join, so a quotation meets few rows, and one of the
+two is always of another conversation if there is any.
 
 Every message is returned once, in reply order within its conversation, without quotations, with the message it
 replies to (the one that its outermost quoted passage comes from) and all sources of its quotations. Null text is
@@ -90,11 +91,14 @@ def links(rows: DataFrame) -> DataFrame:
     asked = quotes.select("hash").distinct()
     said = rows.select("conv_id", "turn", F.explode("said").alias("hash")).filter("conv_id is not null and turn is not null").join(asked, "hash", "left_semi")
     here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here_turn"))
-    there = here.groupBy("hash").agg(F.min(F.struct("conv_id", "here_turn")).alias("first"), F.max(F.struct("conv_id")).alias("last_conv"))
+    ranked = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    firsts = here.withColumn("n", ranked).filter("n <= 2").groupBy("hash")
+    there = firsts.agg(F.min(F.struct("conv_id", F.col("here_turn").alias("turn"))).alias("first"), F.max(F.struct("conv_id", F.col("here_turn").alias("turn"))).alias("second"))
     met = quotes.join(here, ["hash", "conv_id"], "left").join(there, "hash")
     own = F.col("here_turn") < F.col("turn")
-    other = F.col("first.conv_id") != F.col("conv_id")
-    source = F.when(own, F.struct("conv_id", F.col("here_turn").alias("turn"))).when(other & F.col("here_turn").isNull(), F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.here_turn").alias("turn")))
+    source = F.when(own, F.struct("conv_id", F.col("here_turn").alias("turn")))
+    for other in ("first", "second"):
+        source = source.when(F.col(f"{other}.conv_id") != F.col("conv_id"), F.col(other))
     met = met.withColumn("source", source).filter("source is not null")
     best = met.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("weight", (-F.col("source.turn")).alias("t"), (-F.col("source.conv_id")).alias("c"))).alias("b"))
     best = best.select("conv_id", "turn", "passage", "level", (-F.col("b.c")).alias("reply_conv"), (-F.col("b.t")).alias("reply_turn"))

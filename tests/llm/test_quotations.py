@@ -52,3 +52,17 @@ def test_odd_rows(spark):
     got = run(spark, rows)
     assert len(got) == len(rows) and sorted(r.position for r in got if r.conv_id == 3) == [1, 2, 3]
     assert run(spark, []) == []
+
+
+def test_quotes_that_the_own_conversation_says_later(spark):
+    rows = [
+        (1, 0, "user", "> said twice\nsaid twice"),  # itself the smallest conversation that says it, and at the same turn
+        (1, 1, "user", "> said later\nhm"),
+        (1, 2, "user", "said later"),
+        (2, 0, "user", "said twice"),
+        (3, 5, "user", "said later\n\nsaid twice"),
+        (4, 0, "user", "> said later\nsaid later"),
+        (5, 0, "user", "> only here\nonly here"),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in run(spark, rows)}
+    assert got[1, 0] == (2, 0) and got[1, 1] == (3, 5) and got[4, 0] == (1, 2) and got[5, 0] == (None, None)
