@@ -6,6 +6,8 @@ them reach the Parquet reader; ``ext`` and ``depth`` likewise.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,5 +62,19 @@ def renumbered(df: DataFrame) -> DataFrame:
 
 
 def save(df: DataFrame, target: str) -> None:
-    """Write a catalog sorted by path within files, so that Parquet's statistics prune by it."""
-    df.sortWithinPartitions("path_lc", "name_lc").write.mode("overwrite").parquet(target)
+    """Write a catalog in ranges of paths, so that Parquet's statistics prune by path. It is written beside the target and
+    takes its place when it is whole, so the target may be what df reads, and a failure leaves it as it was."""
+    write_swapped(df.repartitionByRange("path_lc", "name_lc").sortWithinPartitions("path_lc", "name_lc"), target)
+
+
+def write_swapped(df: DataFrame, target: str) -> None:
+    """Parquet at target by way of a staging folder and a rename."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda suffix: jvm.org.apache.hadoop.fs.Path(target.rstrip("/") + suffix)
+    fs, tag = at("").getFileSystem(conf), uuid.uuid4().hex
+    df.write.parquet(at(f".new-{tag}").toString())
+    if fs.exists(at("")):
+        fs.rename(at(""), at(f".old-{tag}"))
+    if not fs.rename(at(f".new-{tag}"), at("")):
+        raise OSError(f"can't move the new table to {target}")
+    fs.delete(at(f".old-{tag}"), True)

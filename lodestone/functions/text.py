@@ -39,10 +39,13 @@ def depth(path: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters, in lower case; none of shorter texts."""
-    low = F.lower(text)
-    size = F.length(low)
-    at = F.when(size >= 3, F.sequence(F.lit(1), size - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(low, i, F.lit(3))))
+
+    def of(chars: Column) -> Column:
+        at = F.when(F.size(chars) >= 3, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+
+    # the outer array binds the characters, so that they are split once and the work is linear in the text
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(F.lower(text), "")), of)))
 
 
 def ideograph_pairs(text: Column) -> Column:
@@ -53,6 +56,16 @@ def ideograph_pairs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(at, lambda i: F.substring(text, i, F.lit(2))), lambda x: x.rlike(pair)))
 
 
+def name_priority(name: Column, key: str) -> Column:
+    """0 if the name is the key, 1 if it begins so, else 2."""
+    return F.when(name == key, 0).when(name.startswith(key), 1).otherwise(2)
+
+
+def url_decoded(text: Column) -> Column:
+    """Percent escapes and ``+`` decoded; null where an escape is broken."""
+    return F.try_url_decode(text)
+
+
 def _initial(c: str) -> str:
     try:
         code = c.encode("gb2312")
@@ -63,25 +76,29 @@ def _initial(c: str) -> str:
     return [k for k, first in _RANGES if first.encode("gb2312") <= code][-1]
 
 
-def initials_of(name: str) -> str:
-    """A search key of Mandarin initials; empty without an ideograph."""
-    text = unicodedata.normalize("NFKC", name)
+def initials_with_places(name: str) -> tuple[str, list[int]]:
+    """A search key of Mandarin initials, empty without an ideograph, and the place in the name of each of its characters."""
+    clusters: list[tuple[int, str]] = []  # marks go with the character before them
+    for i, c in enumerate(name):
+        clusters[-1:] = [(clusters[-1][0], clusters[-1][1] + c)] if clusters and unicodedata.combining(c) else [*clusters[-1:], (i, c)]
+    folded = [(c, i) for i, cluster in clusters for c in unicodedata.normalize("NFKC", cluster)]
+    text = "".join(c for c, _ in folded)
     ideographs = [any(a <= c <= b for a, b in _IDEOGRAPH) for c in text]
     if not any(ideographs):
-        return ""
-    out, i = [], 0
+        return "", []
+    out, places, i = [], [], 0
     while i < len(text):
         word = next((w for w in sorted(INITIALS_OF_WORDS, key=lambda w: (-len(w), w)) if text.startswith(w, i)), None)
-        if word:
-            out.append(INITIALS_OF_WORDS[word])
-            i += len(word)
-            continue
-        if ideographs[i]:
-            out.append(_initial(text[i]))
-        elif text[i].isascii() and text[i].isalnum():
-            out.append(text[i].lower())
-        i += 1
-    return "".join(out)
+        key = INITIALS_OF_WORDS[word] if word else _initial(text[i]) if ideographs[i] else text[i].lower() if text[i].isascii() and text[i].isalnum() else ""
+        out.append(key)
+        places += [folded[i + k][1] for k in range(len(key))]
+        i += len(word) if word else 1
+    return "".join(out), places
+
+
+def initials_of(name: str) -> str:
+    """The key alone."""
+    return initials_with_places(name)[0]
 
 
 def initials(name: Column) -> Column:
@@ -115,5 +132,15 @@ def within(path: Column, prefix: str) -> Column:
     return (low == prefix) | low.startswith(prefix + "/") if prefix else F.lit(True)
 
 
+def stored_within(prefix: str) -> Column:
+    """The same over a catalog's stored columns path_lc and name_lc, by conditions that reach the Parquet reader."""
+    prefix = prefix.lower().rstrip("/")
+    if not prefix:
+        return F.lit(True)
+    parent, _, name = prefix.rpartition("/")
+    own = F.col("path_lc").isin([x for x in (parent, parent + "/") if x or not prefix.startswith("/")])
+    return (F.col("path_lc") == prefix) | F.col("path_lc").startswith(prefix + "/") | (own & (F.col("name_lc") == name))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions, F.lit(False))

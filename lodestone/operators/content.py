@@ -54,12 +54,15 @@ def snippet(text: Column, place: Column, size: int) -> Column:
     return F.concat(F.when(begin > 0, F.lit("...")).otherwise(F.lit("")), inner, F.when(end < F.length(text), F.lit("...")).otherwise(F.lit("")))
 
 
-def content_hits(texts: DataFrame, keyword: str) -> DataFrame:
+def content_hits(texts: DataFrame, keyword: str, canonical: bool = False) -> DataFrame:
     """(file_id, match_offset, snippet) of all texts (file_id, text) that hold the keyword; offsets in bytes.
 
-    Keywords under three bytes find nothing. The texts are taken to be in composed form; see functions.text.composed.
+    Keywords under three bytes find nothing. The texts are taken to be in composed form, unless ``canonical`` asks for
+    texts of any form: then they are composed first, and offsets are those of the composed text.
     """
     key = key_of(keyword)
+    if canonical and not key.isascii():  # an ASCII key may stand before a mark, where a composed text hasn't got it
+        texts = texts.withColumn("text", functions.composed(F.col("text")))
     place = F.instr(F.lower("text"), key)
     found = texts.filter(F.lower("text").contains(key) if len(key.encode()) >= SHORTEST_KEY else F.lit(False))
     offset = F.octet_length(F.substring("text", F.lit(1), place - 1)).cast("long")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from lodestone.plans.predicates import valid_pattern
+from lodestone.functions.text import initials_with_places
+from lodestone.plans.patterns import java_pattern
 from lodestone.query import nodes as n
 from lodestone.query.dates import Clock
 from lodestone.query.rewrites import understand
@@ -30,7 +31,7 @@ class Hint:
 
 
 def hints(query: str, clock: Clock | None = None, home: str | None = None) -> list[Hint]:
-    """Of all terms that aren't negated, and of path conditions."""
+    """Of all terms that aren't negated, and of the arguments of path: and file:."""
 
     def of(node) -> list[Hint]:
         match node:
@@ -41,6 +42,8 @@ def hints(query: str, clock: Clock | None = None, home: str | None = None) -> li
                 return [Hint(node.text, node.mode, field, node.case_sensitive)]
             case n.PathHas() if not node.negated:
                 return [Hint(node.text, n.SUBSTRING, PATH)]
+            case n.TypeIs() if node.text:
+                return [Hint(node.text, n.SUBSTRING, NAME)]
             case n.Segments():
                 return [Hint(t, n.SUBSTRING, PATH) for t, _ in node.parts]
         return []
@@ -56,7 +59,7 @@ def _pattern(hint: Hint) -> re.Pattern | None:
             literals = [re.escape(x) for x in re.split(r"[*?]+", hint.text) if x]
             return re.compile("|".join(literals), flags) if literals else None
         case n.REGEX:
-            return re.compile(hint.text, flags) if valid_pattern(hint.text) else None
+            return _own_pattern(hint.text, flags) if java_pattern(hint.text) else None
         case n.WORD:
             return re.compile(r"(?<![0-9A-Za-z])" + re.escape(hint.text) + r"(?![0-9A-Za-z])", flags)
         case n.NAME:
@@ -64,6 +67,27 @@ def _pattern(hint: Hint) -> re.Pattern | None:
     return re.compile(re.escape(hint.text), flags) if hint.text else None
 
 
+def _own_pattern(pattern: str, flags: int):
+    """A pattern of the language for marking; null if this side has no such classes."""
+    try:
+        import regex
+    except ImportError:
+        regex = re
+    try:
+        return regex.compile(pattern, flags)
+    except regex.error:
+        return None
+
+
+def initials_ranges(text: str, hint: Hint) -> list[tuple[int, int]]:
+    """Where a plain term of ASCII letters and digits matches the text's Mandarin initials."""
+    key = hint.text.lower()
+    if hint.mode != n.SUBSTRING or hint.case_sensitive or not re.fullmatch("[0-9a-z]+", key):
+        return []
+    initials, places = initials_with_places(text)
+    return [(p, p + 1) for m in re.finditer(key, initials) for p in places[m.start() : m.end()]]
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges [from, to) in order, those that touch as one."""
     out: list[tuple[int, int]] = []
@@ -78,10 +102,11 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def ranges_of(name: str, path: str, marks: list[Hint]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Ranges in the name and in the path; a hit across both is split at the slash."""
     patterns = [(h, p) for h in marks if (p := _pattern(h))]
-    in_name = [m.span() for h, p in patterns if h.field != PATH for m in p.finditer(name)]
-    in_path = [m.span() for h, p in patterns if h.field != NAME for m in p.finditer(path)]
+    in_name = [m.span() for h, p in patterns if h.field != PATH for m in p.finditer(name)] + [r for h in marks if h.field != PATH for r in initials_ranges(name, h)]
+    in_path = [m.span() for h, p in patterns if h.field != NAME for m in p.finditer(path)] + [r for h in marks if h.field != NAME for r in initials_ranges(path, h)]
     edge, whole = len(path), f"{path}/{name}"
-    across = [m.span() for h, p in patterns if h.field == ANY for m in p.finditer(whole) if m.start() < edge + 1 < m.end()]
+    both = [p for h, p in patterns if h.field == ANY and h.mode == n.SUBSTRING and "/" in h.text]
+    across = [m.span() for p in both for m in p.finditer(whole) if m.start() < edge + 1 < m.end()]
     in_name += [(0, z - edge - 1) for _, z in across]
     in_path += [(a, min(z, edge)) for a, z in across]
     return merged(in_name), merged(in_path)

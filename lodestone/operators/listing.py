@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
@@ -20,13 +20,14 @@ def recent(catalog: DataFrame, limit: int) -> DataFrame:
 
 
 def sort_results(results: DataFrame, by: str, descending: bool = False, limit: int | None = None) -> DataFrame:
-    """Results by a column: directories first but for paths, then the full path. They are a search's window, so few."""
+    """Results by a column: directories first but for paths, then the full path. They are a search's window; without a
+    limit all of them stay."""
     full = F.lower(text.full_path(F.col("path"), F.col("name")))
     own = results.drop("rank").withColumns({"_full": full, "name_lc": F.lower("name"), "ext": text.extension(F.col("name"))})
     key = F.col(SORTS[by])
     order = [*([] if by == "path" else [F.when(F.col("type") == DIRECTORY, 0).otherwise(1)]), key.desc() if descending else key.asc(), F.col("_full"), F.col("file_id")]
-    limit = limit if limit is not None else 10_000
-    return ranked(own, limit, order).select("file_id", "name", "path", "type", "size", "mod_time", "rank")
+    top = own if limit is None else own.orderBy(*order).limit(max(0, limit))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("file_id", "name", "path", "type", "size", "mod_time", "rank")
 
 
 def counts_by_type(catalog: DataFrame) -> DataFrame:

@@ -70,6 +70,20 @@ def renamed_from(events: DataFrame, files: DataFrame) -> DataFrame:
     return events.select("inode", "dev_id", "full_path").join(old, ["inode", "dev_id"]).filter(F.lower("full_path") != F.lower("old_path"))
 
 
+def difference(old: DataFrame, new: DataFrame, first_seq: int = 0) -> DataFrame:
+    """Changes that turn the one set of records into the other: UPDATE of what is new or differs, REMOVE of what is gone.
+    They touch different keys, so they may all have one seq."""
+    side = lambda df, s: df.select(key_of().alias("key"), *(F.col(c).alias(f"{c}_{s}") for c in RECORD))
+    both = side(old, "old").join(side(new, "new"), "key", "full")
+    same = F.lit(True)
+    for c in RECORD:
+        same &= F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new"))
+    gone = F.col("path_new").isNull()
+    of = lambda c: F.when(gone, F.col(f"{c}_old")).otherwise(F.col(f"{c}_new")).alias(c)
+    target = text.full_path(F.coalesce("path_old", "path_new"), F.coalesce("name_old", "name_new")).alias("target")
+    return both.filter(~same).select(F.lit(first_seq).cast("long").alias("seq"), F.when(gone, "REMOVE").otherwise("UPDATE").alias("op"), target, *(of(c) for c in RECORD))
+
+
 def minimal_paths(paths: DataFrame) -> DataFrame:
     """Paths that no other path of the set covers; a path's ancestors are few, so they are joined by equality."""
     own = paths.filter("path <> ''").select(F.when(F.col("path") == "/", "/").otherwise(F.rtrim("path", F.lit("/"))).alias("path")).distinct()

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators.postings import NameIndex
 from lodestone.plans import scoring
 from lodestone.plans.predicates import predicate, segments
 from lodestone.query import rewrites
 from lodestone.query.dates import Clock
 from lodestone.query.filters import DIRECTORY
 
-DEFAULT_LIMIT, LARGEST_LIMIT = 100, 10_000
+#: Limits of the service and, for pages and sorts, of a window of results.
+DEFAULT_LIMIT, LARGEST_LIMIT, LARGEST_WINDOW = 100, 10_000, 100_000
 RESULT = ["file_id", "name", "path", "type", "size", "mod_time", "score", "rank"]
 
 
@@ -34,11 +36,12 @@ def clamp(limit: int | None, most: int = LARGEST_LIMIT, default: int = DEFAULT_L
     return default if limit is None else max(1, min(limit, most))
 
 
-def hits(catalog: DataFrame, query: str, clock: Clock | None = None, home: str | None = None, contents: DataFrame | None = None) -> DataFrame:
+def hits(catalog: DataFrame, query: str, clock: Clock | None = None, home: str | None = None, contents: DataFrame | None = None, index: NameIndex | None = None) -> DataFrame:
     """All rows that match, with ``score``. A void query has none.
 
     A query that isn't in Unicode's composed or decomposed form is tried in the other one too. ``contents``: file_ids
-    that a content search found; only these remain.
+    that a content search found; only these remain. ``index``: of the catalog's names; it spares reading rows that can't
+    match and changes no result. A catalog with initials is read in full, as these aren't indexed.
     """
     query = rewrites.prepared(query, home)
     forms = [q for q in (query, text.other_form(query)) if q]
@@ -51,7 +54,7 @@ def hits(catalog: DataFrame, query: str, clock: Clock | None = None, home: str |
     else:
         initials = "initials" in catalog.columns
         scores = [scoring.score(t) for t in trees]
-        found = catalog.filter(text.any_of([predicate(t, initials) for t in trees])).withColumn("score", scores[0] if len(scores) == 1 else F.least(*scores))
+        found = (catalog if index is None or initials else index.narrowed(catalog, trees)).filter(text.any_of([predicate(t, initials) for t in trees])).withColumn("score", scores[0] if len(scores) == 1 else F.least(*scores))
     return found if contents is None else found.join(contents.select("file_id").distinct(), "file_id", "left_semi")
 
 
@@ -65,9 +68,9 @@ def children(catalog: DataFrame, path: rewrites.PathQuery) -> DataFrame:
     return below.withColumn("score", scoring.packed(F.lit(0), F.lit(scoring.AT_WORD)))
 
 
-def search(catalog: DataFrame, query: str, limit: int | None = DEFAULT_LIMIT, clock: Clock | None = None, home: str | None = None, path_filter: str = "", contents: DataFrame | None = None) -> DataFrame:
+def search(catalog: DataFrame, query: str, limit: int | None = DEFAULT_LIMIT, clock: Clock | None = None, home: str | None = None, path_filter: str = "", contents: DataFrame | None = None, index: NameIndex | None = None) -> DataFrame:
     """RESULT of a query, best first. ``path_filter`` narrows what the limit has left, and keeps its ranks."""
-    top = ranked(hits(catalog, query, clock, home, contents), limit).select(*RESULT)
+    top = ranked(hits(catalog, query, clock, home, contents, index), limit).select(*RESULT)
     needle = path_filter.strip().lower()
     if not needle:
         return top
@@ -76,10 +79,10 @@ def search(catalog: DataFrame, query: str, limit: int | None = DEFAULT_LIMIT, cl
 
 def subtree(catalog: DataFrame, prefix: str) -> DataFrame:
     """Rows whose full path is the prefix or lies below it."""
-    return catalog.filter(text.within(text.full_path(F.col("path"), F.col("name")), prefix))
+    return catalog.filter(text.stored_within(prefix))
 
 
-def page(catalog: DataFrame, query: str, number: int, size: int = 100, limit: int = LARGEST_LIMIT, **how) -> DataFrame:
+def page(catalog: DataFrame, query: str, number: int, size: int = 100, limit: int = LARGEST_WINDOW, **how) -> DataFrame:
     """Page ``number`` (from 1) of the first ``limit`` results."""
     return search(catalog, query, min(limit, number * size), **how).filter(F.col("rank").between((number - 1) * size + 1, number * size))
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import warnings
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.plans.patterns import java_pattern
 from lodestone.query import nodes as n
 
 _COLUMN = {"size": "size", "depth": "depth", "time": "mod_time"}
@@ -46,23 +46,10 @@ def _glob(term: n.Term) -> Column:
     return target.contains(inner) if starts and ends else target.endswith(inner) if starts else target.startswith(inner) if ends else target == inner
 
 
-def valid_pattern(pattern: str) -> bool:
-    """Can the pattern be compiled without back-references and look-around, which the language lacks?"""
-    if re.search(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+", pattern):
-        return False
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            re.compile(pattern)
-    except re.error:
-        return False
-    return True
-
-
 def _regex(term: n.Term) -> Column:
-    if not valid_pattern(term.text):
+    pattern = java_pattern(term.text, term.case_sensitive)
+    if pattern is None:
         return F.lit(False)
-    pattern = term.text if term.case_sensitive else f"(?i){term.text}"
     name = F.col("name" if term.case_sensitive else "name_lc").rlike(pattern)
     return name if term.name_only else name | _full(term).rlike(pattern)
 

@@ -23,7 +23,7 @@ FILE, DIRECTORY, SYMLINK, OTHER, BUNDLE, TOMBSTONE = 1, 2, 3, 4, 5, 0
 LARGEST = (1 << 63) - 1
 _UNITS = {"k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
 _TIMES = frozenset(("dm", "datemodified", "dc", "datecreated", "da", "dateaccessed"))
-_MARKER = re.compile(r"\(\?[a-z]{2,}:([^)]*)\)")
+_MARKER = re.compile(r"\(\?options:([^)]*)\)")
 
 
 def amount(text: str) -> int:
@@ -48,7 +48,7 @@ def extensions(argument: str) -> Node:
 
 
 def regex(argument: str) -> Node:
-    """A pattern; an option marker in front of it, ``(?name:options)`` of any name, sets case, whole words and names only."""
+    """A pattern; an option marker in front of it, ``(?options:case,ww,wfn)``, sets case, whole words and names only."""
     if marker := _MARKER.match(argument):
         flags = {f for f in marker[1].split(",") if f}
         if flags <= {"case", "ww", "wfn"}:
@@ -57,6 +57,17 @@ def regex(argument: str) -> Node:
     return Term(argument, REGEX)
 
 
+def with_options(keyword: str, pattern: bool = False, case: bool = False, whole_word: bool = False, whole_name: bool = False) -> str:
+    """The query of a keyword and a search field's switches. A pattern takes all that follows it, so its switches stand in a
+    marker; other switches are filters in front of the keyword."""
+    if not keyword:
+        return keyword
+    if pattern:
+        flags = [f for f, on in (("case", case), ("ww", whole_word), ("wfn", whole_name)) if on]
+        return "regex:" + (f"(?options:{','.join(flags)})" if flags else "") + keyword
+    return "".join(f for f, on in (("case:", case), ("ww:", whole_word), ("wfn:", whole_name)) if on) + keyword
+
+
 def bind(name: str, argument: str, clock: dates.Clock) -> Node:
     if name in MACROS:
         return extensions(MACROS[name])
@@ -68,7 +79,7 @@ def bind(name: str, argument: str, clock: dates.Clock) -> Node:
         case "size" | "len" | "depth":
             return numeric(name, argument)
         case "file":
-            return TypeIs(FILE)
+            return TypeIs(FILE, argument)
         case "folder":
             return TypeIs(DIRECTORY)
         case "type":

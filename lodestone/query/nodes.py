@@ -37,7 +37,10 @@ class Compare:
 
 @dataclass(frozen=True)
 class TypeIs:
+    """``text``: what a result shows as found; it decides nothing."""
+
     code: int | None
+    text: str = ""
 
 
 @dataclass(frozen=True)

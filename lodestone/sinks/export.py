@@ -11,11 +11,14 @@ COLUMNS = ["name", "path", "ext", "size", "modified", "snippet"]
 
 
 def export_columns(results: DataFrame) -> DataFrame:
-    """COLUMNS as strings; sizes of directories and missing snippets are empty, times are ISO 8601 in UTC."""
+    """COLUMNS as strings; times are ISO 8601 in UTC, missing snippets empty. Of content matches, which have a snippet,
+    extension, size and time are empty."""
     # seconds go through an interval, so that the session's time zone doesn't matter
     utc = F.expr("date_format(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, mod_time), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
-    own = F.col("snippet") if "snippet" in results.columns else F.lit("")
-    return results.select("file_id", "name", "path", text.extension(F.col("name")).alias("ext"), F.col("size").cast("string").alias("size"), utc.alias("modified"), F.coalesce(own, F.lit("")).alias("snippet"))
+    if "snippet" in results.columns:
+        empty = [F.lit("").alias(c) for c in ("ext", "size", "modified")]
+        return results.select("file_id", "name", "path", *empty, F.coalesce("snippet", F.lit("")).alias("snippet"))
+    return results.select("file_id", "name", "path", text.extension(F.col("name")).alias("ext"), F.col("size").cast("string").alias("size"), utc.alias("modified"), F.lit("").alias("snippet"))
 
 
 def _field(c: Column) -> Column:
@@ -47,6 +50,11 @@ def path_lines(results: DataFrame) -> DataFrame:
     return results.select("file_id", text.full_path(F.col("path"), F.col("name")).alias("line"))
 
 
+def write_separated(lines: DataFrame, target: str, separator: str = "\0") -> None:
+    """Lines as text files that end each line with the separator, by default NUL, as paths may hold line ends."""
+    lines.select("line").write.mode("overwrite").option("lineSep", separator).text(target)
+
+
 def write_lines(lines: DataFrame, target: str, header: str | None = None) -> None:
     """Lines as text files. A header, with a byte order mark, makes it one file, as is meant for a window of results."""
     own = lines.select("line")

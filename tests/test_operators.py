@@ -1,12 +1,20 @@
 """Content search, postings, mutations, streams, sources, sinks, highlights and history on small tables."""
 
 import os
+import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog as catalogs
 from lodestone.functions import text
-from lodestone.operators import content, highlight, history, mutations, postings
+from lodestone.operators import content, highlight, history, listing, mutations, postings
+from lodestone.operators.content_index import ContentIndex, keyed
+from lodestone.operators.postings import NameIndex
+from lodestone.operators.search import hits, subtree
+from lodestone.operators.sessions import Cancelled, Sessions
 from lodestone.sinks import export
 from lodestone.sources import scan
 from lodestone.streaming import changes as streams
@@ -131,7 +139,8 @@ def test_sessions(spark):
     want = [("a", 0, 8, 3), ("a", 20, 20, 1), ("b", 3, 3, 1)]
     for made in (streams.gaps(df), streams.sessions(df)):
         assert sorted((r.root, int(r.first_at.timestamp()), int(r.last_at.timestamp()), r.requests) for r in made.collect()) == want
-    assert sorted((r.root, r.requests) for r in streams.throttled(streams.gaps(df)).collect()) == [("a", 4), ("b", 1)]
+    runs = lambda seconds: sorted((r.root, int(r.run_at.timestamp()), r.requests) for r in streams.throttled(streams.gaps(df), seconds).collect())
+    assert runs(300) == [("a", 8, 3), ("a", 308, 1), ("b", 3, 1)] and runs(10) == [("a", 8, 3), ("a", 20, 1), ("b", 3, 1)]
 
 
 def test_routes(spark):
@@ -215,3 +224,195 @@ def test_functions(spark):
     assert text.initials_of("长城Ａ b-1") == "ccab1" and text.initials_of("abc") == "" and text.initials_of("㐀") == "㐀"
     nfd = spark.createDataFrame([("é",), ("a",), (None,)], "t string").select(text.composed(F.col("t"))).collect()
     assert [r[0] for r in nfd] == ["é", "a", None]
+
+
+def test_policy_below_the_roots(spark):
+    rows = [("/home/.data/a/x.txt", True), ("/home/.data/.b/x", False), ("/home/.data/a/tmp1/y", False), ("/home/other", False), ("/System/Volumes/z", True), ("/System/Library/q", False), ("/home/.data/out/k", True), ("/home/.data/skip/k", False)]
+    config = scan.ScanConfig(("/home/.data", "/System/Volumes"), excluded=("/home", "/home/.data/SKIP"), patterns=("TMP[0-9]", "[!a-z]*.bak"))
+    df = spark.createDataFrame([(p, p.rpartition("/")[2], want) for p, want in rows], "p string, name string, want boolean")
+    assert df.filter(scan.allowed(config, F.col("p"), F.col("name")) != F.col("want")).collect() == []
+    assert config.exclusions == ["/home/.data/SKIP"] and config.system_roots == ["/System/Volumes"]
+    assert not config.skips("/System/Volumes/z", "z") and config.skips("/System/x", "x")
+
+
+def test_scans_of_many_levels(spark, tmp_path):
+    for i in range(3):
+        for j in range(4):
+            (tmp_path / f"top/d{i}/e{j}/f").mkdir(parents=True)
+            (tmp_path / f"top/d{i}/e{j}/f/file").write_text("x")
+    config = scan.ScanConfig((str(tmp_path), str(tmp_path / "absent")))
+    full = text.full_path(F.col("path"), F.col("name"))
+    for enough in (1, 3, 1000):
+        found = scan.scan(spark, config, enough=enough)
+        assert found.filter("error is null").select(full).distinct().count() == found.filter("error is null").count() == 1 + 3 + 12 + 12 + 12
+        with pytest.raises(ValueError, match="absent"):
+            scan.complete(found)
+
+
+def test_texts_of_scanned_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("é text")
+    (tmp_path / "big").write_text("x" * 2000)
+    (tmp_path / "bin").write_bytes(b"a\0b")
+    (tmp_path / "empty").write_bytes(b"")
+    os.symlink(tmp_path / "a.txt", tmp_path / "link")
+    scanned = scan.scan(spark, scan.ScanConfig((str(tmp_path),)))
+    rows = scan.texts_of(scanned.unionByName(scanned.filter("name = 'a.txt'").withColumn("name", F.lit("gone"))), largest=1000).collect()
+    assert [(r.text, r.size) for r in rows] == [("é text", 7)]
+
+
+def test_saving_over_what_is_read(spark, tmp_path):
+    target = str(tmp_path / "catalog")
+    df = catalogs.derive(files(spark, [(f"n{i}", f"/p{i % 7}") for i in range(100)]))
+    catalogs.save(df, target)
+    catalogs.save(spark.read.parquet(target).filter("name <> 'n5'"), target)
+    assert spark.read.parquet(target).count() == 99 and os.listdir(tmp_path) == ["catalog"]
+    plan = subtree(spark.read.parquet(target), "/P3/")._jdf.queryExecution().executedPlan().toString()
+    assert subtree(spark.read.parquet(target), "/P3/").count() == 14 and "StringStartsWith(path_lc,/p3/)" in plan
+
+
+def test_subtrees_by_stored_columns(spark):
+    df = catalogs.derive(files(spark, [("Users", ""), ("Users", "/"), ("a", "/users"), ("b", "/Users2"), ("c", "/users/x"), ("users", "/x"), ("top", "")]))
+    full = text.full_path(F.col("path"), F.col("name"))
+    for prefix in ("/Users", "/users/", "/", "", "/users/x", "/x/users", "/none"):
+        assert paths(subtree(df, prefix)) == paths(df.filter(text.within(full, prefix))), prefix
+
+
+def test_ids_of_logged_records_are_new(spark, tmp_path):
+    table = streams.ChangeTable(spark, str(tmp_path / "t"))
+    assert table.read().count() == 0
+    table.append(changes(spark, [change(1, "ADD", "/n/0")]), 0)  # before there is a base
+    assert paths(table.read()) == ["/n/0"]
+    table.create(files(spark, [("a", "/d"), ("b", "/d"), ("c", "/d")]))
+    table.append(changes(spark, [change(i, "ADD", f"/n/{i}") for i in range(3)]), 1)
+    ids = lambda: sorted(r.file_id for r in table.read().collect())
+    assert len(set(ids())) == 6
+    before = ids()
+    table.compact()
+    assert ids() == before
+    table.append(changes(spark, [change(i, "ADD", f"/m/{i}") for i in range(3)]), 2)
+    assert len(set(ids())) == 9 and set(before) <= set(ids())
+
+
+def test_a_log_that_does_not_reach_back(spark, tmp_path):
+    table = streams.ChangeTable(spark, str(tmp_path / "t"))
+    table.create(files(spark, [("a", "/d")]))
+    fresh = lambda: files(spark, [("z", "/d")]).withColumn("error", F.lit(None).cast("string"))
+    assert table.resume(changes(spark, [change(4, "ADD", "/d/old"), change(5, "ADD", "/d/b")]), 4, fresh, 0)
+    assert paths(table.read()) == ["/d/a", "/d/b"]
+    assert not table.resume(changes(spark, [change(9, "ADD", "/d/c")]), 5, fresh, 1)
+    assert paths(table.read()) == ["/d/z"]
+
+
+def test_polling(spark, tmp_path):
+    table = streams.ChangeTable(spark, str(tmp_path / "t"))
+    table.create(files(spark, [("a", "/d"), ("b", "/d")]))
+    fresh = lambda: files(spark, [("a", "/d"), ("c", "/e")]).withColumn("error", F.lit(None).cast("string"))
+    query = table.poll(fresh, str(tmp_path / "checkpoint"), seconds=1)
+    try:
+        deadline = time.time() + 60
+        while not table._numbers("log") and time.time() < deadline:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert paths(table.read()) == ["/d/a", "/e/c"]
+
+
+def test_difference_turns_one_into_the_other(spark):
+    old, new = files(spark, [("a", "/d"), ("b", "/d"), ("C", "/d")]), files(spark, [("a", "/d"), ("c", "/d"), ("x", "/e")])
+    out = mutations.difference(old, new)
+    assert sorted((r.op, r.target) for r in out.collect()) == [("REMOVE", "/d/b"), ("UPDATE", "/d/C"), ("UPDATE", "/e/x")]
+    assert paths(mutations.apply(old, out)) == paths(new) and mutations.difference(new, new).count() == 0
+
+
+def test_index_changes_no_result(spark, tmp_path):
+    rng = random.Random(4)
+    df = catalogs.derive(files(spark, [("".join(rng.choice("abc/".replace("/", "")) for _ in range(rng.randint(1, 8))) + ".t", "/" + "/".join("".join(rng.choice("abc") for _ in range(4)) for _ in range(2))) for _ in range(400)]))
+    df = df.persist()
+    NameIndex.of(df).save(str(tmp_path / "index"))
+    for listed in (0, 1000):
+        index = NameIndex.load(spark, str(tmp_path / "index"), df.count())
+        index.listed = listed
+        for query in ("abca", "abc|bca", "abcab !ca", "*bca?b*", "regex:ab[ab]cc?a", "path:abca", "cab/abc", "abcabc", "ww:abcb", "zzz", "ab", "regex:(abc|bca)+x?"):
+            assert {r.file_id for r in hits(df, query, index=index).collect()} == {r.file_id for r in hits(df, query).collect()}, query
+    joined = NameIndex.load(spark, str(tmp_path / "index"), 10**9)
+    joined.listed = 0
+    assert "LeftSemi" in hits(df, "abcab", index=joined)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_index_follows_texts(spark, tmp_path):
+    index = ContentIndex(spark, str(tmp_path / "index"))
+    schema = "file_id long, text string, mod_time long"
+    one = spark.createDataFrame([(1, "red rings", 1), (2, "Blue ring", 1), (3, "", 1), (4, "ab", 1)], schema)
+    find = lambda texts, key: sorted(r.file_id for r in index.hits(texts, key).collect())
+    assert index.count() == 0 and find(one, "ring") == []
+    index.build(one)
+    assert index.count() == 4 and find(one, "RING") == [1, 2] and find(one, "ri") == []
+    two = spark.createDataFrame([(1, "red rings", 2), (2, "Blue bolt", 2), (5, "a ring", 2), (4, "ab", 1)], schema)
+    states = {r.file_id: r.change for r in index.refresh(two, 1).collect()}
+    assert states == {1: "unchanged", 2: "upserted", 3: "removed", 4: "unchanged", 5: "upserted"}
+    assert find(two, "ring") == [1, 5] and find(two, "bolt") == [2] and index.count() == 4
+    index.remove(two.filter("file_id = 5"), 2)
+    assert find(two, "ring") == [1]
+    before = sorted(map(tuple, index.postings().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.postings().collect())) == before and find(two, "ring") == [1]
+    index.append(spark.createDataFrame([(9, "ADD", 7, 0, 0, ["rin"])], "seq long, op string, file_id long, content_hash long, mod_time long, keys array<string>"), 2)
+    assert index.count() == 3  # the base holds that batch
+    assert [r.file_id for r in index.search(two, "ring", 1).collect()] == [1]
+    index.clear()
+    assert index.count() == 0 and index.postings().count() == 0
+    index.build(two, F.col("file_id") > 2)
+    assert index.count() == 2
+
+
+def test_content_log_stops_at_damage(spark, tmp_path):
+    index = ContentIndex(spark, str(tmp_path / "index"))
+    texts = lambda k: spark.createDataFrame([(k, f"text {k}", k)], "file_id long, text string, mod_time long")
+    for k in (1, 2, 3):
+        rows = keyed(texts(k)).selectExpr(f"{k}L seq", "'ADD' op", "*")
+        index.append(rows, k)
+    where = str(tmp_path / "index/log/batch=2")
+    damaged = spark.createDataFrame(spark.read.parquet(where).withColumn("content_hash", F.lit(5).cast("long")).collect(), spark.read.parquet(where).schema)
+    damaged.write.mode("overwrite").parquet(where)
+    assert sorted(r.file_id for r in index.files().collect()) == [1]
+
+
+def test_sessions_cancel_what_they_overtake(spark):
+    sessions, out = Sessions(spark), {}
+
+    def slow():
+        return spark.range(8).repartition(2).mapInPandas(lambda it: (time.sleep(20) or x for x in it), "id long")
+
+    def first():
+        try:
+            out["first"] = sessions.collect(7, slow)
+        except Cancelled:
+            out["first"] = "cancelled"
+
+    thread = threading.Thread(target=first)
+    thread.start()
+    time.sleep(2)
+    began = time.time()
+    assert len(sessions.collect(7, lambda: spark.range(3))) == 3
+    thread.join(15)
+    assert out["first"] == "cancelled" and time.time() - began < 15
+    assert len(sessions.collect(0, lambda: spark.range(2))) == 2
+
+
+def test_small_functions(spark, tmp_path):
+    df = spark.createDataFrame([("size1", "a%20b+c"), ("size12", "%zz"), ("a size1", None)], "name string, url string")
+    assert [r[0] for r in df.select(text.name_priority(F.col("name"), "size1")).collect()] == [0, 1, 2]
+    assert [r[0] for r in df.select(text.url_decoded(F.col("url"))).collect()] == ["a b c", None, None]
+    lines = spark.createDataFrame([("/a\nb",), ("/c",)], "line string").coalesce(1)
+    export.write_separated(lines, str(tmp_path / "out"))
+    part = next(x for x in os.listdir(tmp_path / "out") if x.startswith("part"))
+    assert (tmp_path / "out" / part).read_text() == "/a\nb\0/c\0"
+    many = spark.range(25_000).selectExpr("id file_id", "cast(id as string) name", "'/p' path", "1 type", "id size", "id mod_time", "0L rank")
+    assert listing.sort_results(many, "size").count() == 25_000
+    assert sorted(r.key for r in postings.trigram_postings(spark.createDataFrame([(1, "İab🙂c"), (2, "ab")], "file_id long, name_lc string")).collect()) == sorted({"i̇a", "̇ab", "ab🙂", "b🙂c"})
+
+
+def test_highlight_of_arguments_and_initials():
+    assert highlight.ranges_of("my ring.txt", "/ring", highlight.hints("file:ring")) == ([(3, 7)], [])
+    assert highlight.ranges_of("长城 report", "/x", highlight.hints("ccr")) == ([(0, 2), (3, 4)], [])
+    assert highlight.ranges_of("abc", "/x", highlight.hints("regex:(?P<a>b)\\pL")) == ([(1, 3)], [])
