@@ -2,63 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.storage import clear, delete_path, fresh_path, made, materialise, shared_dir
+
+__all__ = ["BATCH_ROWS", "WORD", "bound_batches", "clear", "delete_path", "fresh_path", "made", "materialise", "read_table", "shared_dir", "text_or_empty", "tokenizer_path"]
+
 #: Texts may be long, so Arrow batches are shorter than Spark's 10,000 rows.
 BATCH_ROWS = 1000
 #: A word, as all contracts of this subpackage define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-#: Tables that this process has made in the shared folder.
-_made: list[str] = []
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """Where a new table can be; it stays until clear() or until its owner deletes it."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all tables of this process; call it once results are written, as they read from them."""
-    while _made:
-        delete_path(spark, _made.pop())
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read it again. Survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a table of ours from the shared folder, with the file system that Spark uses for it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Hand Python workers at most BATCH_ROWS whole texts at once; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
