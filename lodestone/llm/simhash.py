@@ -12,7 +12,8 @@ any key is made. Buckets of more than ``hot`` fingerprints are not joined: their
 differing bits as wildcards instead (each such bucket holds four fingerprints at most), which is exact and linear.
 
 Nulls and empty texts have fingerprint zero and link like any other; a null doc_id is carried through and never
-chosen as a component's smallest id unless its whole component has none. Repeated rows are returned as often.
+chosen as a component's smallest id unless its whole component has none. Repeated rows are returned as often. Other
+columns, whatever their names, are left out. components() raises RuntimeError if its rounds don't suffice.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, materialise
+from lodestone.llm.common import bound_batches, clear, made, materialise
 
 SEED = 42
+#: Edges that one task unites: a few MB.
+SMALL = 200_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -125,13 +129,40 @@ def _crowded_links(whole: DataFrame, wild: DataFrame, crowded: DataFrame) -> lis
     return [_one_wildcard(inside.select("fp").distinct()), _two_wildcards(same_a, low, low), _two_wildcards(same_b, high, high), _two_wildcards(mixed, low, high)]
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of one task."""
+    above: dict = {}
+
+    def find(node):
+        while (up := above.setdefault(node, node)) != node:
+            above[node] = node = above[up]  # each look shortens the way
+        return node
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field("x").type
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            x, y = find(x), find(y)
+            above[max(x, y)] = min(x, y)
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(list(above), kind), pa.array([find(n) for n in list(above)], kind)], ["node", "root"])
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of ``edges`` (x, y: any orderable type); root: the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is cut with a table in the shared folder. Neither edges nor
-    nodes reach the driver, only the count and a checksum by which a fixed point is seen.
+    Up to ``small`` edges, a number that doesn't grow with the input, are united in one task. More of them take
+    alternating large-star and small-star rounds; each is cut with a table in the shared folder, and the round before
+    deleted. Neither edges nor nodes reach the driver, only the count and a checksum by which a fixed point is seen.
+    Rounds grow with the square of the logarithm of the longest chain at most; RuntimeError after ``most_rounds``.
     """
+    since = made()
     edges = materialise(edges.filter("x <> y").selectExpr("least(x, y) x", "greatest(x, y) y").distinct(), name)
+    if edges.count() <= small:
+        kind = edges.schema["x"].dataType.simpleString()
+        found = materialise(edges.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}"), name)
+        clear(edges.sparkSession, since, -1)
+        return found
     seen = None
     for _ in range(most_rounds):
         both = edges.select("x", "y").unionAll(edges.selectExpr("y x", "x y"))
@@ -139,8 +170,9 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         large = both.filter("y > x").join(least, "x").selectExpr("m x", "y").filter("x <> y").distinct()
         down = large.selectExpr("greatest(x, y) x", "least(x, y) y")
         root = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(root, "x").filter("y <> m").selectExpr("y a", "m b").unionAll(root.selectExpr("x a", "m b"))
-        edges = materialise(small.selectExpr("least(a, b) x", "greatest(a, b) y").filter("x <> y").distinct(), name)
+        nearer = down.join(root, "x").filter("y <> m").selectExpr("y a", "m b").unionAll(root.selectExpr("x a", "m b"))
+        edges = materialise(nearer.selectExpr("least(a, b) x", "greatest(a, b) y").filter("x <> y").distinct(), name)
+        clear(edges.sparkSession, since, -1)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.xxhash64("x", "y").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if state == seen:
             return edges.selectExpr("y node", "x root").unionAll(edges.selectExpr("x node", "x root").distinct())

@@ -32,11 +32,20 @@ def test_links_are_all_pairs(spark, hot):
     assert found == want
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("small", [simhash.SMALL, 0])
+def test_components_of_a_chain(spark, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 103), (200, 150), (7, 7)]
-    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "x long, y long"), small=small).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
-    assert simhash.components(spark.createDataFrame([], "x long, y long")).count() == 0
+    assert simhash.components(spark.createDataFrame([], "x long, y long"), small=small).count() == 0
+    rng = random.Random(small)
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in some:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(some, "x long, y long"), small=small).collect()}
+    assert got == {n: root[n] for n in {n for e in some if e[0] != e[1] for n in e}}
 
 
 def fingerprint(text):

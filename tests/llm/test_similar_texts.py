@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 
 from lodestone.llm import similar_texts as st
@@ -56,16 +55,6 @@ def test_odd_rows(spark):
     assert st.keep_one(df.limit(0)).count() == 0
 
 
-def test_bits_follow_similarity():
-    assert st.most_bits(100, 100, 1.0 + st.MARGIN) == 0 and st.most_bits(10, 100, 0.8) < 0 and st.most_bits(0, 0, 0.8) == 0
-    words = [f"w{i}" for i in range(600)]
-    size, one = st.wide_fingerprint(" ".join(words))
-    _, two = st.wide_fingerprint(" ".join(words[:300] + ["x"] + words[301:]))
-    assert size == 596 and st.wide_fingerprint(None) == (0, bytes(st.WIDE // 8))
-    differ = int(np.bitwise_count(np.frombuffer(one, "u8") ^ np.frombuffer(two, "u8")).sum())
-    assert 0 < differ < st.most_bits(596, 596, 0.9)
-
-
 def edited(edits, n=150):
     """Pairs of texts of 200 shingles, where so many edits change five shingles each."""
     rng, out = random.Random(edits), []
