@@ -10,17 +10,20 @@ of a block whose substring is within the substring radius, as a bitset. By the p
 every such code; it is filtered by whole distance and the rest ranked by inner product on the original vectors.
 
 The radius is the TRUST quantile of the distances of true neighbours within the sample. The sample is no denser than
-the table, so its neighbours are no nearer: the radius errs to the large side as the table grows. Where a block has
-fewer than k rows within the radius, the radius is raised to the whole code for that query and block, so that queries
-off the beaten track still find k.
-
-A stated query set meets all rows, in blocks. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part. Repeated ids are rows of their own: a row isn't its own neighbour, nor are rows with its id.
+the table, so its neighbours are no nearer: the radius errs to the large side as the table grows. A query that has
+fewer than k rows within the radius in the whole table, however that is cut into blocks, is asked again with the
+radius at the whole code, which reaches every row.
+
+A stated query set meets all rows, in blocks of G x S cells with a partition each. Vectors that are null, zero, or hold
+null or non-finite components take no part, nor do rows without id. Vectors of different lengths have no inner product:
+each length is a search of its own. Repeated ids are rows of their own: a row isn't its own neighbour, but other rows
+with its id are. Ties go to the smaller id. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialise
 
 BITS, SAMPLE, PROBES, ROUNDS, TRUST, K = 256, 4096, 256, 20, 0.97, 20
-ROWS_BLOCK, QUERIES_BLOCK, QUERY_PACK = 16384, 1024, 256
+ROWS_BLOCK, QUERIES_BLOCK, QUERY_PACK, BLOCK_BYTES = 16384, 1024, 256, 1 << 24
+FOUND = "query long, query_id long, vec_id long, score double"
 _NEAR = np.bitwise_count(np.arange(256, dtype="u1")[:, None] ^ np.arange(256, dtype="u1"))
 
 
@@ -61,7 +65,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, k: int = K, bits: int = BITS, trust: float = TRUST) -> tuple[Codes, int]:
-    """The codes and the radius."""
+    """The codes and the radius. Copies say nothing of how far neighbours are, so each vector counts once."""
+    sample = np.unique(sample, axis=0)
     codes = Codes(sample, bits)
     packed = codes.of(sample)
     probes = np.arange(0, len(sample), max(1, len(sample) // PROBES))
@@ -78,124 +83,149 @@ def fit(sample: np.ndarray, k: int = K, bits: int = BITS, trust: float = TRUST)
 class Index:
     """A block of rows, with a table of bitsets for each substring."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, radius: int):
-        self.ids, self.vectors, self.packed, self.radius = ids, vectors, packed, radius
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, radius: int):
+        self.rows, self.ids, self.vectors, self.packed, self.radius = rows, ids, vectors, packed, radius
         within = radius // packed.shape[1]
         self.tables = [np.packbits(_NEAR[:, column] <= within, axis=1) for column in packed.T]
 
-    def candidates(self, packed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, row) pairs within the radius, found by probing every table; in pieces of bounded size."""
-        for at in range(0, len(packed), 64):
-            part = packed[at : at + 64]
-            union = self.tables[0][part[:, 0]]
-            for table, value in zip(self.tables[1:], part.T[1:]):
-                union |= table[value]
-            q, r = np.nonzero(np.unpackbits(union, axis=1, count=len(self.ids)))
-            keep = distances(part[q], self.packed[r]) <= self.radius
-            yield q[keep] + at, r[keep]
-
-    def search(self, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row id, score): each query's k best of this block, those of its own id left out."""
-        out = []
-        for q, r in self.candidates(packed):
-            out.append(self._best(ids, vectors, q, r, k))
-        found = np.bincount(np.concatenate([o[0] for o in out]), minlength=len(ids))
-        everything = np.arange(len(self.ids))
-        for q in np.flatnonzero(found < min(k, len(self.ids))).tolist():
-            out.append(self._best(ids, vectors, np.full(len(everything), q), everything, k))
-        query, row, score = (np.concatenate([o[i] for o in out]) for i in range(3))
-        again = np.unique(np.stack([query, row]), axis=1, return_index=True)[1]
-        return query[again], self.ids[row[again]], score[again]
-
-    def _best(self, ids, vectors, q, r, k):
-        other = self.ids[r] != ids[q]
-        q, r = q[other], r[other]
-        score = np.einsum("ij,ij->i", vectors[q], self.vectors[r])
-        order = np.lexsort((self.ids[r], -score, q))
-        q, r, score = q[order], r[order], score[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        return q[rank < k], r[rank < k], score[rank < k]
+    def candidates(self, code: np.ndarray) -> np.ndarray:
+        """Rows within the radius of a code, found by probing every table."""
+        union = self.tables[0][code[0]].copy()
+        for table, value in zip(self.tables[1:], code[1:]):
+            union |= table[value]
+        probed = np.unpackbits(union, count=len(self.ids)).view("?")
+        if 4 * np.count_nonzero(probed) > len(probed):  # of so many, distances are faster without fetching rows
+            return np.flatnonzero(probed & (distances(self.packed, code[None]) <= self.radius))
+        found = np.flatnonzero(probed)
+        return found[distances(self.packed[found], code[None]) <= self.radius]
+
+    def search(self, row: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row ids, scores) of a query's k best of this block, without the row that it is itself."""
+        found = self.candidates(code)
+        found = found[self.rows[found] != row]
+        if len(found) > k:
+            rough = self.vectors[found] @ vector  # rounded by blocks of rows, so equal rows may differ by a little
+            least = np.partition(rough, len(rough) - k)[len(rough) - k]
+            found = found[rough >= least - 1e-9 * max(1.0, abs(least))]
+        score = np.einsum("ij,ij->i", self.vectors[found], np.broadcast_to(vector, (len(found), len(vector))))
+        order = np.lexsort((self.ids[found], -score))[:k]
+        return self.ids[found[order]], score[order]
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)))
-    sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()  # one row
-    return own.filter(F.size("v") == (sizes["n"] if sizes else 0))
+    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    return own.filter(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _pack(block: int):
-    """Rows (id, v) of each partition packed into rows (ids, vectors) of so many."""
+PACK = "p int, rows binary, ids binary, vectors binary"
+
+
+def _packs(block: int):
+    """Rows (p, n, id, v), sorted by p, as PACK rows of up to ``block`` rows of one p."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[pa.RecordBatch] = []
 
-        def out(last: bool):
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            whole = len(t) if last else len(t) - len(t) % block
-            for at in range(0, whole, block):
-                part = t.slice(at, min(block, whole - at))
-                vectors = _matrix(part["v"].combine_chunks()).astype("f8")
-                yield pa.RecordBatch.from_arrays([pa.array([part["id"].to_numpy().tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["ids", "vectors"])
-            held[:] = t.slice(whole).to_batches()
+            p, at = t["p"].to_numpy(), 0
+            while at < len(p):
+                end = min(at + block, int(np.searchsorted(p, p[at], "right")))
+                if not last and end == len(p) and end - at < block:
+                    break  # its p may go on in the next batch
+                part = t.slice(at, end - at)
+                cells = [int(p[at]), part["n"].to_numpy().tobytes(), part["id"].to_numpy().tobytes(), _matrix(part["v"].combine_chunks()).astype("f8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["p", "rows", "ids", "vectors"])
+                at = end
+            held[:] = t.slice(at).to_batches()
 
         for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= block:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= block:
                 yield from out(False)
-                n = sum(x.num_rows for x in held)
-        if n:
+        if held:
             yield from out(True)
 
     return pack
 
 
-def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(ids, "i8")
-    return found, np.frombuffer(vectors, "f8").reshape(len(found), -1)
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(row["rows"], "i8")
+    return rows, np.frombuffer(row["ids"], "i8"), np.frombuffer(row["vectors"], "f8").reshape(len(rows), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", bits: int = BITS, trust: float = TRUST, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query by inner product; ``is_query`` is on column id.
+def _packed(df: DataFrame, groups: int, block: int, name: str) -> DataFrame:
+    dealt = df.withColumn("p", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int")).repartition(groups, "p").sortWithinPartitions("p", "n")
+    return materialise(dealt.select("p", "n", "id", "v").mapInArrow(_packs(block), PACK), name)
 
-    Rows in G groups of about ``rows_block`` and queries in S groups of about ``queries_block`` meet in G x S tasks, as
-    in a blocked matrix product: each row travels S times, each query G times.
-    """
-    spark = vectors.sparkSession
-    own = materialise(usable(vectors, vec_id, embedding), "vectors")
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(fit(_matrix(sample["v"].combine_chunks()), k, bits, trust))  # a few square matrices
-    queries = own.filter(is_query)
-    g, s = max(1, -(-own.count() // rows_block)), max(1, -(-queries.count() // queries_block))
-    dealt = lambda df, n: df.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "p").sortWithinPartitions("id").select("id", "v")
-    packed = lambda df, n, block, name: materialise(dealt(df, n).mapInArrow(_pack(block), "ids binary, vectors binary").withColumn("p", F.spark_partition_id()), name)
-    rows = packed(own, g, rows_block, "row_packs").selectExpr("p g", f"explode(sequence(0, {s - 1})) s", "0 kind", "ids", "vectors")
-    asked = packed(queries, s, QUERY_PACK, "query_packs").selectExpr(f"explode(sequence(0, {g - 1})) g", "p s", "1 kind", "ids", "vectors")
+
+def _met(rows: DataFrame, g: int, queries: DataFrame, s: int, shared, radius: int | None, k: int) -> DataFrame:
+    """FOUND: the k best of each query in each block. Rows in G groups and queries in S groups meet in G x S cells, as in
+    a blocked matrix product: each row travels S times, each query G times."""
+    asked = _packed(queries, s, QUERY_PACK, "query_packs").selectExpr(f"explode(sequence(0, {g - 1})) g", "p s", "1 kind", "rows", "ids", "vectors")
+    here = rows.selectExpr("p g", f"explode(sequence(0, {s - 1})) s", "0 kind", "rows", "ids", "vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, radius = shared.value
+        codes, fitted = shared.value
         at, blocks = None, []
         for b in batches:
             for row in b.to_pylist():
-                if (row["g"], row["s"]) != at:
-                    at, blocks = (row["g"], row["s"]), []
-                ids, vs = _unpack(row["ids"], row["vectors"])
+                if row["cell"] != at:
+                    at, blocks = row["cell"], []
+                ns, ids, vs = _unpack(row)
+                packed = codes.of(vs)
                 if not row["kind"]:
-                    blocks.append(Index(ids, vs, codes.of(vs), radius))
+                    blocks.append(Index(ns, ids, vs, packed, fitted if radius is None else radius))
                     continue
                 for index in blocks:
-                    query, near, score = index.search(ids, vs, codes.of(vs), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"])
+                    best = [index.search(n, v, c, k) for n, v, c in zip(ns.tolist(), vs, packed)]
+                    many = [len(near) for near, _ in best]
+                    columns = [np.repeat(ns, many), np.repeat(ids, many), *(np.concatenate(x) for x in zip(*best))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "query_id", "vec_id", "score"])
+
+    cells = here.unionAll(asked).withColumn("cell", F.expr(f"g * {s} + s"))
+    return cells.repartitionById(g * s, "cell").sortWithinPartitions("cell", "kind").mapInArrow(search, FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """FOUND with ``rank``: the k best of each query."""
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _nearest(own: DataFrame, is_query: Column, k: int, bits: int, trust: float, rows_block: int, queries_block: int) -> DataFrame:
+    """nearest() of rows (n, id, v) whose vectors are equally long."""
+    spark = own.sparkSession
+    sample = own.orderBy(F.xxhash64("id", "n"), "n").limit(SAMPLE).select("v").toArrow()  # bounded by SAMPLE
+    vectors = _matrix(sample["v"].combine_chunks())
+    shared = spark.sparkContext.broadcast(fit(vectors, k, bits, trust))  # a few square matrices
+    queries, total = own.filter(is_query), own.count()
+    rows_block = min(rows_block, max(1, BLOCK_BYTES // (8 * vectors.shape[1])))
+    g = -(-total // rows_block)
+    groups = lambda df: max(1, -(-df.count() // queries_block))
+    rows = _packed(own, g, rows_block, "row_packs")
+    found = materialise(_ranked(_met(rows, g, queries, groups(queries), shared, None, k), k), "found")
+    enough = found.filter(F.col("rank") == min(k, total - 1)).select(F.col("query").alias("n"))
+    lonely = materialise(queries.join(enough, "n", "left_anti"), "lonely") if total > 1 else queries.limit(0)
+    if not lonely.isEmpty():
+        again = _ranked(_met(rows, g, lonely, groups(lonely), shared, bits, k), k)
+        found = found.join(enough.withColumnRenamed("n", "query"), "query", "left_semi").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
+
 
-    met = rows.unionAll(asked).repartition(g * s, "g", "s").sortWithinPartitions("g", "s", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", bits: int = BITS, trust: float = TRUST, rows_block: int = ROWS_BLOCK, queries_block: int = QUERIES_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query by inner product; ``is_query`` is on column id."""
+    spark = vectors.sparkSession
+    own = materialise(usable(vectors, vec_id, embedding).withColumn("n", F.monotonically_increasing_id()), "vectors")
+    lengths = sorted(r[0] for r in own.select(F.size("v")).distinct().collect())  # a number for each dimension in use
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, [_nearest(own.filter(F.size("v") == n), is_query, k, bits, trust, rows_block, queries_block) for n in lengths])
