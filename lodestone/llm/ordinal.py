@@ -6,10 +6,12 @@ top grade; it is selected where that tail probability reaches ``cut``.
 
 The model is fitted on at most SAMPLE labelled rows (those of least hash, a documented bound) with full-batch Adam on
 the driver, and scores whole texts of all rows: its features are the set of words (lower case, letters and digits) and
-the shares of token shapes, repetition and length.
+the shares of token shapes (runs of capitals, small letters, digits and each other character), repetition and length.
 
 Nulls and empty texts have the features of no words. Rows without a rating aren't fitted; without any labelled row
-all weights are zero and every document is taken to have the top grade. Repeated rows are scored alike.
+all weights are zero and every document is taken to have the top grade. Repeated rows are scored alike. A rating that
+is given twice counts once, as does a doc_id that several documents have: the text of least hash is fitted. A document
+whose tail probability equals the cut is selected. The columns that classify() adds replace those of their names.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def _slot(text: str, bits: int) -> int:
 
 
 def _shape(token: str) -> str:
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
-    return "".join(k for k, _ in itertools.groupby(kinds))[:12]
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
+    return "".join(k for k, _ in itertools.groupby(kinds))
 
 
 class _Slots(dict):
@@ -92,22 +94,28 @@ def _cuts(steps: np.ndarray) -> np.ndarray:
     return np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
 
 
+def loss_and_slope(y, column, values, owner, theta: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood at theta (weights, then thresholds' steps), and its gradient."""
+    n, d, last = len(y), len(theta) - grades + 1, grades - 2
+    cuts = _cuts(theta[d:])
+    score = np.bincount(owner, values * theta[:d][column], n)
+    upper = np.where(y <= last, _sigmoid(cuts[np.minimum(y, last)] - score), 1.0)
+    lower = np.where(y > 0, _sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_cut = (np.bincount(np.maximum(y - 1, 0), low, grades - 1) - np.bincount(np.minimum(y, last), up, grades - 1)) / n
+    slope = np.bincount(column, values * (up - low)[owner], d) / n
+    return float(-np.log(p).mean()), np.concatenate([slope, [by_cut.sum()], np.exp(theta[d + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]])
+
+
 def _descend(y, column, values, owner, theta: np.ndarray, sparse: float, grades: int) -> np.ndarray:
-    """Full-batch Adam from theta (weights, then thresholds' steps) on the mean negative log likelihood, with an L1 penalty."""
-    theta, n, d = theta.copy(), len(y), len(theta) - grades + 1
+    """Full-batch Adam from theta on loss_and_slope() with an L1 penalty on the weights."""
+    theta, d = theta.copy(), len(theta) - grades + 1
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    last = grades - 2
     for step in range(1, EPOCHS + 1):
-        w, cuts = theta[:d].copy(), _cuts(theta[d:])
-        score = np.bincount(owner, values * w[column], n)
-        upper = np.where(y <= last, _sigmoid(cuts[np.minimum(y, last)] - score), 1.0)
-        lower = np.where(y > 0, _sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
-        p = np.maximum(upper - lower, 1e-9)
-        up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
-        by_cut = (np.bincount(np.maximum(y - 1, 0), low, grades - 1) - np.bincount(np.minimum(y, last), up, grades - 1)) / n
-        slope = np.bincount(column, values * (up - low)[owner], d) / n
-        slope = np.where(w != 0, slope + sparse * np.sign(w), slope - np.clip(slope, -sparse, sparse))
-        slope = np.concatenate([slope, [by_cut.sum()], np.exp(theta[d + 1 :]) * np.cumsum(by_cut[::-1])[::-1][1:]])
+        w = theta[:d].copy()
+        _, slope = loss_and_slope(y, column, values, owner, theta, grades)
+        slope[:d] = np.where(w != 0, slope[:d] + sparse * np.sign(w), slope[:d] - np.clip(slope[:d], -sparse, sparse))
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta -= RATE * min(1, 2 * (1 - step / (EPOCHS + 1))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta[:d][theta[:d] * w < 0] = 0  # no step leads across zero
@@ -147,8 +155,10 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` ratings (doc_id, grade) of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
-    chosen = ratings.withColumn("h", F.xxhash64("doc_id", "grade")).orderBy("h", "doc_id", "grade").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # as many rows as the sample has
+    chosen = ratings.select("doc_id", "grade").distinct().withColumn("h", F.xxhash64("doc_id", "grade")).orderBy("h", "doc_id", "grade").limit(sample)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # as many rows as the sample has
+    least = F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("least")  # one text for each rating
+    texts = met.groupBy("h", "doc_id", "grade").agg(least).select("h", "grade", "least.text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -55,3 +55,50 @@ def test_odd_rows(spark):
 def test_grades(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1), (5, None, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in ordinal.graded(labels).collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
+
+
+def test_gradient_is_that_of_finite_differences():
+    rng = np.random.default_rng(3)
+    n, d, grades = 40, 6, 4
+    owner = np.repeat(np.arange(n), 3)
+    column, values = rng.integers(0, d, 3 * n), rng.normal(size=3 * n)
+    y, theta = rng.integers(0, grades, n), np.concatenate([rng.normal(size=d), [-0.5, 0.1, -0.3]])
+    _, slope = ordinal.loss_and_slope(y, column, values, owner, theta, grades)
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-6
+        up, down = (ordinal.loss_and_slope(y, column, values, owner, theta + s, grades)[0] for s in (step, -step))
+        assert slope[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_scores_like_plain_sums(spark):
+    """Grades and tails of every row, from the features and weights, one at a time."""
+    rows = corpus(300, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    model = ordinal.train(docs, docs.selectExpr("doc_id", "truth grade"))
+    scored = {r.doc_id: r for r in ordinal.classify(docs, model).collect()}
+    for i, text, _ in rows:
+        slots, values = ordinal.features(text)
+        score = sum(float(model.weights[s]) * float(v) for s, v in zip(slots, values))
+        tails = [1 / (1 + np.exp(c - score)) for c in model.thresholds]
+        assert scored[i].tail_probability == pytest.approx(tails[-1], abs=1e-9) and scored[i].expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert scored[i].selected == (scored[i].tail_probability >= ordinal.CUT)
+
+
+def test_a_tie_at_the_cut_is_selected(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
+    model = ordinal.Model(np.zeros(ordinal.WIDTH), np.array([-1.0, 0.0]))
+    assert [r.selected for r in ordinal.classify(docs, model, cut=0.5).collect()] == [True, True]
+    assert [r.selected for r in ordinal.classify(docs, model, cut=0.5000001).collect()] == [False, False]
+
+
+def test_a_repeated_document_is_fitted_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 500 + [(1, "other words"), (2, "BAD!!")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(1, 2), (1, 2), (2, 0)], "doc_id long, grade int")
+    once = spark.createDataFrame([(1, min(["good words here", "other words"], key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}') h").first()[0])), (2, "BAD!!")], "doc_id long, text string")
+    a, b = ordinal.train(docs, ratings), ordinal.train(once, ratings.distinct())
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
+def test_long_tokens_count_whole():
+    assert ordinal._shape("aA" * 40 + "1") != ordinal._shape("aA" * 40 + "!")
