@@ -134,11 +134,18 @@ def combine(a, b):
     return start, [leave[k] for k in alive], product[:, alive]
 
 
-def through(state: State, chunk) -> tuple[State, ...]:
-    """Exit states that can be reached from one entry state."""
+def through(reached: dict[State, tuple[float, State | None]], chunk) -> dict[State, tuple[float, State | None]]:
+    """The exit states that entry states (with the weights of their best paths) lead to: best weight and state before."""
     start, leave, matrix = chunk
-    row = matrix[start.index(state)]
-    return tuple(leave[k] for k in np.flatnonzero(row > NEVER))
+    places = {s: i for i, s in enumerate(start)}
+    out: dict[State, tuple[float, State | None]] = {}
+    for state, (weight, _) in reached.items():
+        if state in places:
+            row = matrix[places[state]]
+            for k in np.flatnonzero(row > NEVER):
+                if leave[k] not in out or weight + row[k] > out[leave[k]][0]:
+                    out[leave[k]] = (weight + row[k], state)
+    return out
 
 
 def backtrace(merges: Merges, text: str, begin: int, end: int, entry: State, leave: State) -> list[str]:
@@ -215,7 +222,9 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int, block: int) -> DataFram
                 a = max(0, at - margin)
                 yield _emit([{"digest": row["digest"], "chunk": k, "before": at - a, "size": min(chunk, len(text) - at), "body": text[a : at + chunk + margin]}], pa.schema([("digest", pa.binary()), ("chunk", pa.int32()), ("before", pa.int32()), ("size", pa.int32()), ("body", pa.string())]))
 
-    chunks = materialise(giants.mapInArrow(cut, CHUNKS).repartition("digest", "chunk"), "chunks")
+    parts = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # chunks are few bytes and much work, so their partitions aren't left to be joined by size
+    chunks = materialise(giants.mapInArrow(cut, CHUNKS).repartition(parts, "digest", "chunk"), "chunks")
 
     def matrices(batches):
         for row in _rows(batches):
@@ -233,16 +242,15 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int, block: int) -> DataFram
     walk = f"digest binary, chunk int, entry {state}, leave {state}"
 
     def follow(rows: list[dict], entry: State, leave: State | None) -> list[dict]:
-        """Each row's entry and exit state on the one path from entry (to leave, where it's known)."""
-        layers = [{entry: None}]
+        """Each row's entry and exit state on the path of most weight from entry (to leave, where it's known)."""
+        layers: list[dict] = [{entry: (0.0, None)}]
         for row in rows:
-            t = _unpack(row)
-            layers.append({after: state for state in layers[-1] if state in t[0] for after in through(state, t)})
-        last = leave if leave is not None else next(s for s in layers[-1] if s[0] == 0)
+            layers.append(through(layers[-1], _unpack(row)))
+        last = leave if leave is not None else max((s for s in layers[-1] if s[0] == 0), key=lambda s: layers[-1][s][0])
         out = []
         for row, layer in zip(reversed(rows), reversed(layers[1:])):
-            out.append({"digest": row["digest"], "chunk": row["chunk"], "entry": dict(zip(("reach", "piece"), layer[last])), "leave": dict(zip(("reach", "piece"), last))})
-            last = layer[last]
+            out.append({"digest": row["digest"], "chunk": row["chunk"], "entry": dict(zip(("reach", "piece"), layer[last][1])), "leave": dict(zip(("reach", "piece"), last))})
+            last = layer[last][1]
         return out[::-1]
 
     def over_blocks(table: pa.Table) -> pa.Table:

@@ -29,15 +29,16 @@ def test_scan_gives_the_librarys_pieces(size):
         spans = chunks_of(plain, size)
         own = [pieces.transfer(merges, plain, a, b) for a, b in spans]
         whole = functools.reduce(pieces.combine, own)
-        leave = [s for s in pieces.through((0, ""), whole) if s[0] == 0]
+        start = {(0, ""): (0.0, None)}
+        leave = [s for s in pieces.through(start, whole) if s[0] == 0]
         assert len(leave) == 1
-        layers = [{(0, ""): None}]
+        layers = [start]
         for t in own:
-            layers.append({after: s for s in layers[-1] if s in t[0] for after in pieces.through(s, t)})
+            layers.append(pieces.through(layers[-1], t))
         last, parts = leave[0], []
         for (a, b), layer in zip(reversed(spans), reversed(layers[1:])):
-            parts = pieces.backtrace(merges, plain, a, b, layer[last], last) + parts
-            last = layer[last]
+            parts = pieces.backtrace(merges, plain, a, b, layer[last][1], last) + parts
+            last = layer[last][1]
         assert pieces.ids_of(PATH, parts) == model.encode(text)
         assert -whole[2][0][whole[1].index(leave[0])] == len(parts)  # the weight counts pieces
 
@@ -62,3 +63,12 @@ def test_documents(spark):
         assert (rows[i].ids, rows[i].n_tokens, rows[i].n_bytes) == (ids, len(ids), len((t or "").encode()))
         assert rows[i].round_trip == (model.decode(ids) == (t or "")) and rows[i].round_trip == ("▁" not in (t or ""))
     assert pieces.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_the_path_of_most_weight_is_taken():
+    """Of two entry states that lead to one exit state, the better path's is kept, whatever their order."""
+    a, b, end = (0, "a"), (1, "b"), (0, "z")
+    chunk = ([a, b], [end], np.array([[-5.0], [-2.0]]))
+    for reached in ({a: (-1.0, None), b: (-2.0, None)}, {b: (-2.0, None), a: (-1.0, None)}):
+        assert pieces.through(reached, chunk) == {end: (-4.0, b)}
+    assert pieces.through({a: (0.0, None)}, ([a], [end], np.array([[pieces.NEVER]]))) == {}
