@@ -10,7 +10,9 @@ two is always of another conversation if there is any.
 
 Every message is returned once, in reply order within its conversation, without quotations, with the message it
 replies to (the one that its outermost quoted passage comes from) and all sources of its quotations. Null text is
-empty; rows without conversation or turn are kept and order last. Repeated rows are messages of their own.
+empty. conv_id and turn are whole numbers; what can't be read as one counts as null, and rows without conversation or
+turn are kept, order last and have no sources. Repeated rows are messages of their own. Other columns, whatever their
+names, are left out. Messages of one conversation and turn are one place: they quote and are quoted together.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import bound_batches, materialise
 
 _MARKS = re.compile(r"^(?:[ \t]*>)+")
 _WROTE = re.compile(r"(?:wrote|writes|schrieb|a écrit)\s*:\s*$", re.IGNORECASE)
 WHOLE, PARAGRAPH, LINE = 3, 2, 1
-TURNS = 1024
+TURNS, SALTS = 1024, 64
 
 
 def normalised(passage: str) -> str:
@@ -41,7 +43,12 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     for line in (text or "").split("\n"):
         mark = _MARKS.match(line)
         lines.append((mark[0].count(">"), line[mark.end() :].removeprefix(" ")) if mark else (0, line))
-    kept = [(level, line) for i, (level, line) in enumerate(lines) if not (_WROTE.search(line) and next((x[0] for x in lines[i + 1 :] if x[1].strip()), 0) > level)]
+    kept, below = [], 0  # the level of the next line that isn't blank
+    for level, line in reversed(lines):
+        if not (below > level and _WROTE.search(line)):
+            kept.append((level, line))
+        below = level if line.strip() else below
+    kept.reverse()
     passages: list[tuple[int, list[str]]] = []
     for level, line in kept:
         if passages and passages[-1][0] == level:
@@ -82,7 +89,8 @@ def parsed(messages: DataFrame) -> DataFrame:
                 quoted.append([{"passage": i, "level": level, "weight": w, "hash": h} for i, (level, p) in enumerate(passages) for w, h in units(p)])
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array(own, pa.string()), pa.array(said, _SAID), pa.array(quoted, _QUOTED)], ["conv_id", "turn", "role", "text", "said", "quoted"])
 
-    return messages.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text").mapInArrow(of, PARSED)
+    bound_batches(messages.sparkSession)
+    return messages.selectExpr("try_cast(conv_id as long) conv_id", "try_cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text").mapInArrow(of, PARSED)
 
 
 def links(rows: DataFrame) -> DataFrame:
@@ -91,8 +99,9 @@ def links(rows: DataFrame) -> DataFrame:
     asked = quotes.select("hash").distinct()
     said = rows.select("conv_id", "turn", F.explode("said").alias("hash")).filter("conv_id is not null and turn is not null").join(asked, "hash", "left_semi")
     here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here_turn"))
-    ranked = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
-    firsts = here.withColumn("n", ranked).filter("n <= 2").groupBy("hash")
+    # two of each hash, at first within salts, as one line may be said by a third of all conversations
+    two = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("hash", *by).orderBy("conv_id"))).filter("n <= 2").drop("n")
+    firsts = two(two(here.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS))), "salt")).groupBy("hash")
     there = firsts.agg(F.min(F.struct("conv_id", F.col("here_turn").alias("turn"))).alias("first"), F.max(F.struct("conv_id", F.col("here_turn").alias("turn"))).alias("second"))
     met = quotes.join(here, ["hash", "conv_id"], "left").join(there, "hash")
     own = F.col("here_turn") < F.col("turn")
