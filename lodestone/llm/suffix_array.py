@@ -14,8 +14,13 @@ Sorting a row for every suffix would move hundreds of times the input, so suffix
    words, dropping each suffix as soon as it stands alone. Tokens of more than ``hot`` different runs (a frequent line
    in many contexts) are dealt out by the suffixes' digests instead.
 
+Runs are taken as equal by 128 bits (their token's hash and their digest), texts and the suffixes of crowded tokens by
+their MD5; all other suffixes are compared byte by byte.
+
 Every stage is linear in the text. Nulls and empty texts have nothing to remove. Equal texts have equal results and
-are cut in full from LENGTH bytes on, repeated rows included. Texts of any length are read in segments.
+are cut in full from LENGTH bytes on, repeated rows included. Texts of any length are read in segments. Columns whose
+names are those of this module's own may be in docs; ``spans`` and ``kept`` are replaced. doc_ids play no part, so they
+may be null or repeated.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import bound_batches, delete_path, fresh_path, materialise, text_or_empty
 
-LENGTH, GRAM, SEGMENT = 200, 32, 1 << 20
+LENGTH, GRAM, SEGMENT, STRETCH = 200, 32, 1 << 20, 1 << 22
 RUNS = "key long, digest long, text_key binary, start long, n long"
 PIECE_BYTES = 1 << 20
 
@@ -208,10 +213,10 @@ def _local(length: int):
         base = np.cumsum([0, *(len(r[3]) for r in rows)])
         starts = np.concatenate([np.arange(b, b + len(r[3]) - length + 1) for b, r in zip(base, rows)])
         found = repeated_suffixes(data, starts, length)
-        owner = np.searchsorted(base, found, "right") - 1
+        edge = np.searchsorted(found, base)  # found is sorted, so each row's are neighbours
         out = []
-        for i in np.unique(owner).tolist():
-            out += [(rows[i][1], rows[i][2] + s, rows[i][2] + e) for s, e in _spans(found[owner == i] - base[i], length)]
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            out += [(rows[i][1], rows[i][2] + s, rows[i][2] + e) for s, e in _spans(found[edge[i] : edge[i + 1]] - base[i], length)]
         return _batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))], "text_key a z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +266,7 @@ def keyed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = 4096) -> DataFrame:
-    """(text_key, a, z): intervals of bytes that go, overlapping, for each text."""
+    """(text_key, a, z): intervals of bytes that go, which may overlap, for each text."""
     spark = docs.sparkSession
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -289,7 +294,18 @@ def repeated_intervals(docs: DataFrame, text: str = "text", length: int = LENGTH
         twice = single.groupBy("digest").count().filter("count > 1").select("digest")
         out = out.unionAll(single.join(twice, "digest").select("text_key", "a", (F.col("a") + length).alias("z")))
     local = few.select("key", "text_key", "start", "piece").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    return out.unionAll(local.mapInArrow(_local(length), "text_key binary, a long, z long")).distinct()
+    return _joined(out.unionAll(local.mapInArrow(_local(length), "text_key binary, a long, z long")))
+
+
+def _joined(intervals: DataFrame) -> DataFrame:
+    """Intervals that overlap or touch become one, within stretches of STRETCH bytes, so that a text has few of them and
+    no task all of a giant's."""
+    own = Window.partitionBy("text_key", "stretch").orderBy("a", "z")
+    before = F.max("z").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("a") > before, F.lit(True)).cast("int")
+    marked = intervals.withColumn("stretch", F.expr(f"a div {STRETCH}")).withColumn("new", new)
+    island = marked.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("text_key", "stretch", "island").agg(F.min("a").alias("a"), F.max("z").alias("z")).select("text_key", "a", "z")
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
