@@ -2,11 +2,14 @@
 
 ``mux`` writes a program association table, a program map table and the payload in packetised elementary packets of
 up to UNIT bytes on one private-data PID; every RAP_EVERY-th elementary packet is a random-access point. ``demux``
-reads such bytes again (any number of private streams of one program): it parses the program tables and checks their
-CRC, checks continuity counters, reassembles elementary packets and lists timestamps and random-access points.
-
-Null and empty texts are a payload of 64 zero bytes. Broken streams raise ValueError; a counter's jump is counted as
-a discontinuity. Repeated rows return equal values. Each text is held by itself, so memory is bounded by a batch.
+reads such bytes again (any number of private streams of one program): it parses the program tables, over as many
+packets as they take, and checks their CRC, checks continuity counters, reassembles elementary packets and lists
+timestamps and random-access points. A packet that repeats the one before, counter and all, is dropped, as is permitted
+once; a counter's jump is counted as a discontinuity unless the stream announces it. Other broken streams raise ValueError.
+
+Null and empty texts are a payload of 64 zero bytes. doc_ids of any type, null or repeated, are carried through; repeated
+rows return equal values. Other columns, whatever their names, are left out. Each text is held by itself, so memory is
+bounded by a batch.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches
+from lodestone.llm.common import bound_batches, materialise
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM, PRIVATE_STREAM, PRIVATE_ID = 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
 UNIT, RAP_EVERY, TICKS, FIRST_PTS = 8192, 8, 3600, 90_000
 
-MEDIA = "doc_id long, media binary"
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def crc32_mpeg(data: bytes) -> int:
@@ -113,16 +116,48 @@ class Stream:
     packets: int = 0
 
 
+def _payload(packet: np.ndarray) -> bytes:
+    """A packet's bytes behind its header and adaptation field."""
+    if not packet[3] & 0x10:
+        return b""
+    return packet[4 + (int(packet[4]) + 1 if packet[3] & 0x20 else 0) :].tobytes()
+
+
 def _section(rows: np.ndarray, pid: int) -> bytes:
+    """The first whole section of a PID, from as many packets as it takes."""
     own = rows[((rows[:, 1].astype("i4") & 0x1F) << 8 | rows[:, 2]) == pid]
-    if not len(own):
+    starts = np.flatnonzero((own[:, 1] & 0x40) != 0)
+    if not len(starts):
         raise ValueError(f"no table on PID {pid}")
-    body = own[0, 4:].tobytes()
-    section = body[1 + body[0] :]
-    length = 3 + (int.from_bytes(section[1:3], "big") & 0x0FFF)
-    if crc32_mpeg(section[:length]):
-        raise ValueError(f"the table on PID {pid} has a wrong CRC")
-    return section[:length]
+    section, counter = b"", -1
+    for packet in own[starts[0] :]:
+        if section and packet[3] & 0x0F == counter:
+            continue  # a repeated packet
+        body, counter = _payload(packet), packet[3] & 0x0F
+        if section:
+            section += body[1:][: body[0]] if packet[1] & 0x40 else body
+        else:
+            section = body[1 + body[0] :]
+        if len(section) >= 3 and len(section) >= (length := 3 + (int.from_bytes(section[1:3], "big") & 0x0FFF)):
+            if crc32_mpeg(section[:length]):
+                raise ValueError(f"the table on PID {pid} has a wrong CRC")
+            return section[:length]
+    raise ValueError(f"the table on PID {pid} has no end")
+
+
+def _in_order(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """The packets with payload of one PID, without repeated ones, and the jumps of their counter that aren't announced."""
+    adapted = ((own[:, 3] & 0x20) != 0) & (own[:, 4] > 0)
+    announced = np.cumsum(adapted & ((own[:, 5] & 0x80) != 0))
+    filled = (own[:, 3] & 0x10) != 0
+    own, announced = own[filled], announced[filled]
+    same = np.concatenate([[False], (own[1:, 3:] == own[:-1, 3:]).all(1)]) if len(own) else np.zeros(0, "?")
+    run = np.arange(len(own)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(own)))) if len(own) else np.zeros(0, "i8")
+    keep = run % 2 == 0  # one repetition is permitted; a third packet alike is a jump
+    own, announced = own[keep], announced[keep]
+    counters = own[:, 3] & 0x0F
+    jump = ((counters[1:] - counters[:-1]) & 0x0F) != 1
+    return own, int((jump & (announced[1:] == announced[:-1])).sum())
 
 
 def demux(media: bytes) -> Stream:
@@ -134,7 +169,9 @@ def demux(media: bytes) -> Stream:
         raise ValueError("a packet lacks its sync byte")
     pat = _section(rows, PAT_PID)
     programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(pat) - 4, 4)]
-    program, pmt_pid = next(x for x in programs if x[0])
+    program, pmt_pid = next((x for x in programs if x[0]), (0, 0))
+    if not program:
+        raise ValueError("the association table has no program")
     pmt = _section(rows, pmt_pid)
     i, kinds = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF), {}
     while i < len(pmt) - 4:
@@ -144,12 +181,10 @@ def demux(media: bytes) -> Stream:
     pids = (rows[:, 1].astype("i4") & 0x1F) << 8 | rows[:, 2]
     pieces = []
     for pid in kinds:
-        own = rows[pids == pid]
-        own = own[(own[:, 3] & 0x10) != 0]
+        own, jumps = _in_order(rows[pids == pid])
         if not len(own):
             continue
-        counters = own[:, 3] & 0x0F
-        out.discontinuities += int((((counters[1:] - counters[:-1]) & 0x0F) != 1).sum())
+        out.discontinuities += jumps
         adapted = (own[:, 3] & 0x20) != 0
         skip = 4 + np.where(adapted, own[:, 4].astype("i4") + 1, 0)
         flagged = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
@@ -176,7 +211,7 @@ def padded(text: str | None) -> bytes:
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) of every row."""
+    """(doc_id, n_bytes, media) of every row, in a table of the shared folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +222,9 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 )
 
     bound_batches(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    media = own.mapInArrow(write, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return materialise(media, "media", "zstd")
 
 
 def feature_of(s: Stream) -> str:
@@ -209,4 +246,4 @@ def read(media: DataFrame) -> DataFrame:
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", *names])
 
-    return media.mapInArrow(parse, READ + ", timestamps array<long>, random_access array<long>")
+    return media.mapInArrow(parse, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {READ}, timestamps array<long>, random_access array<long>")

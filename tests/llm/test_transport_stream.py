@@ -55,3 +55,68 @@ def test_columns(spark):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert rows[0].feature == rows[1].feature and rows[2][1:] == rows[3][1:]
     assert ts.read(ts.store(df.limit(0))).count() == 0
+
+
+def packets_of(section, pid):
+    """A section over as many packets as it takes."""
+    data, out = b"\x00" + section, []
+    for k, at in enumerate(range(0, len(data), ts.BODY)):
+        head = bytes([ts.SYNC]) + ((0x4000 if not k else 0) | pid).to_bytes(2, "big") + bytes([0x10 | k % 16])
+        out.append((head + data[at : at + ts.BODY]).ljust(ts.PACKET, b"\xff"))
+    return out
+
+
+def test_tables_over_several_packets():
+    streams = b"".join(bytes([6]) + (0xE000 | 0x200 + k).to_bytes(2, "big") + b"\xf0\x00" for k in range(100))
+    content = (0xE000 | ts.DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([6]) + (0xE000 | ts.DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + streams
+    section = b"\x02" + (0xB000 | (5 + len(content) + 4)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00" + content
+    pmt = packets_of(section + ts.crc32_mpeg(section).to_bytes(4, "big"), ts.PMT_PID)
+    media = ts.mux(b"q" * 3000)
+    found = ts.demux(media[: ts.PACKET] + b"".join(pmt) + media[2 * ts.PACKET :])
+    assert len(pmt) > 2 and len(found.kinds) == 101 and found.payload == b"q" * 3000
+    with pytest.raises(ValueError):
+        ts.demux(media[: ts.PACKET] + b"".join(pmt[:-1]) + media[2 * ts.PACKET :])
+    empty = b"\x00\xb0\x09\x00\x01\xc1\x00\x00"
+    with pytest.raises(ValueError, match="no program"):
+        ts.demux(b"".join(packets_of(empty + ts.crc32_mpeg(empty).to_bytes(4, "big"), ts.PAT_PID)) + media[ts.PACKET :])
+
+
+def test_repeated_packets_and_announced_jumps():
+    payload = bytes(range(256)) * 20
+    media = ts.mux(payload)
+    rows = [media[i : i + ts.PACKET] for i in range(0, len(media), ts.PACKET)]
+    for at in (2, 5, len(rows) - 1):
+        found = ts.demux(b"".join([*rows[: at + 1], rows[at], *rows[at + 1 :]]))
+        assert (found.payload, found.discontinuities) == (payload, 0)
+    assert ts.demux(b"".join([*rows[:6], rows[5], rows[5], *rows[6:]])).discontinuities >= 1
+    announce = bytes([ts.SYNC]) + ts.DATA_PID.to_bytes(2, "big") + b"\x20\xb7\x80" + b"\xff" * (ts.PACKET - 6)
+    assert ts.demux(b"".join([*rows[:5], announce, *rows[6:]])).discontinuities == 0
+
+
+def plainly(media):
+    """(payload, timestamps, random-access timestamps) by one look at each packet."""
+    units, flags = [], []
+    for at in range(0, len(media), ts.PACKET):
+        p = media[at : at + ts.PACKET]
+        if (p[1] & 0x1F) * 256 + p[2] != ts.DATA_PID:
+            continue
+        body, flag = p[4:], False
+        if p[3] & 0x20:
+            flag, body = bool(p[4] and p[5] & 0x40), p[5 + p[4] :]
+        if p[1] & 0x40:
+            units.append(b"")
+            flags.append(flag)
+        units[-1] += body
+    stamps = [int(f"{u[9]:08b}"[4:7] + f"{u[10]:08b}" + f"{u[11]:08b}"[:7] + f"{u[12]:08b}" + f"{u[13]:08b}"[:7], 2) for u in units]
+    return b"".join(u[14:] for u in units), stamps, [s for s, f in zip(stamps, flags) if f]
+
+
+def test_columns_like_a_plain_reader(spark):
+    texts = ["", "x" * 100, "word " * 9000, "é" * 70_000]
+    df = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    rows = {r.doc_id: r for r in ts.read(ts.store(df)).collect()}
+    for i, t in enumerate(texts):
+        payload, stamps, random_access = plainly(ts.mux(ts.padded(t)))
+        r = rows[f"id{i}"]
+        assert payload == ts.padded(t) and (r.timestamps, r.random_access) == (stamps, random_access)
+        assert r.feature == f"program=1 streams=256:6 packets={r.media_bytes // 188} units={len(stamps)} pts={min(stamps)}-{max(stamps)} rap={len(random_access)} discontinuities=0"
