@@ -4,8 +4,9 @@ Targets. Sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 target stops at ``most`` times its source's words and the excess goes to the others by weight. That fixed point is
 target = min(most * words, level * weight) with one level for all, found with running sums over the sources.
 
-Blocks. Each source's documents, in a pseudorandom order of doc_id, are one sequence of words, packed into blocks of
-BLOCK words; the last may be shorter. A document covers an interval of that sequence.
+Blocks. Each source's documents, in a pseudorandom order of doc_id and size, are one sequence of words, packed into
+blocks of BLOCK words; the last may be shorter. A document covers an interval of that sequence, which is summed up over
+ranges of the order; a range that equal doc_ids crowd is split further, at last by rows, so that no task holds them all.
 
 Slots. A source has as many slots as its target's words need; the last may take only its block's first words. Slot q
 reads block perm(q mod blocks), where perm is a swap-or-not shuffle of the whole blocks with keys of source and epoch;
@@ -13,10 +14,12 @@ a short last block stays last. Every epoch reads each block once, so no document
 
 Shards. Each output shard of SHARD slots draws its source counts from a multinomial with the slots' shares. Draws
 beyond a source's own number of slots go, in order, to sources that have some left, so all totals are exact. Blocks
-and slots are joined by (source, index).
+and slots are joined by (source, index). Shards and slots are in mixed_shards(); how many words of a document are taken
+over all depends on the totals alone.
 
-Sizes are counts of words; a null text has 0. Repeated and null doc_ids are rows of their own; equal rows are
-interchangeable. A table without words takes nothing. All draws are arithmetic on the seed: reruns agree.
+Sizes are counts of words; a null text has 0. Repeated and null doc_ids are rows of their own; rows of one doc_id, source
+and size are interchangeable. A table without words takes nothing. Columns of docs may have any names. All draws are
+arithmetic on the seed: reruns agree.
 """
 
 from __future__ import annotations
@@ -28,15 +31,20 @@ from lodestone.llm.common import WORD, materialise
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARD, ROUNDS, SEED = (3, 1, 2), 1.5, 2, 256, 4096, 12, 20_240_607
 #: Rows that a running sum over documents holds in one task, or so; slots that are made from one row; cells of a draw.
-NEAR_ROWS, CHUNK, CELLS = 20_000, 4096, 4096
+NEAR_ROWS, CHUNK, CELLS, SALTS = 20_000, 4096, 4096, 64
 PRIME = 2_147_483_647
 
 
+#: SQL for what decides a document's place.
+PLACE = "coalesce(doc_id, 0) + size * 7919"
+
+
 def draw(x: str, salt: str) -> str:
-    """SQL for a pseudorandom long in [0, PRIME): multiplicative generators, chained. The same SQL runs elsewhere."""
+    """SQL for a pseudorandom long in [0, PRIME): multiplicative generators around a square, without which neighbours' draws
+    would follow each other in even steps. The same SQL runs elsewhere."""
     first = f"(((cast({x} as bigint) % {PRIME} + {PRIME}) % {PRIME} + (cast({salt} as bigint) % {PRIME}) * 7919 + {SEED}) % {PRIME})"
     second = f"(({first} * 48271 + 11) % {PRIME})"
-    third = f"(({second} * 69621 + ({second} % 65536) * 16807) % {PRIME})"
+    third = f"({second} * ({second} + 69621) % {PRIME})"
     return f"(({third} * 39373 + 5) % {PRIME})"
 
 
@@ -70,21 +78,29 @@ def plan(sized: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     return by.withColumn("slots", F.expr(slots).cast("long"))
 
 
-def located(docs: DataFrame, by: DataFrame) -> DataFrame:
-    """docs (doc_id, tie, source, size, ...) with rank, source_size, target and their interval's ``begin`` in the source's words.
+def located(docs: DataFrame, by: DataFrame, near_rows: int = NEAR_ROWS) -> DataFrame:
+    """docs (row, doc_id, source, size, ...) with rank, source_size, target and their interval's ``begin`` in the source's
+    words; ``row`` tells rows apart.
 
-    The running sum is taken in ranges of the pseudorandom order, so a source with a third of all rows has many tasks.
+    The running sum is taken in ranges of the pseudorandom order, so a source with a third of all rows has many tasks. In
+    ranges of over four times the rows meant, each doc_id and size is a range of its own, in SALTS parts.
     """
     most = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0  # one number
-    bits = max(4, (most // NEAR_ROWS).bit_length())
+    bits = max(4, (most // near_rows).bit_length())
     joined = docs.join(by.select(F.col("source").alias("_s"), "rank", "source_size", "target"), docs["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    joined = joined.withColumn("place", F.expr(draw("coalesce(doc_id, 0)", "1"))).withColumn("range", F.shiftright("place", 31 - bits))
-    totals = joined.groupBy("rank", "range").agg(F.sum("size").alias("total"))
-    before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("rank", "range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("rank", "range").orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn("place", F.expr(draw(PLACE, "1"))).withColumn("range", F.shiftright("place", 31 - bits))
+    crowded = joined.groupBy("rank", "range").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > 4 * near_rows)
+    joined = joined.join(crowded, ["rank", "range"], "left").withColumn("split", F.col("crowd").isNotNull())
+    # of a split range, the order's own columns; of another, the same values throughout
+    parts = {"p": F.col("place"), "none": F.col("doc_id").isNull().cast("int"), "d": F.coalesce("doc_id", F.lit(0)).cast("long"), "z": F.col("size"), "salt": F.pmod(F.xxhash64("row"), F.lit(SALTS))}
+    joined = joined.withColumns({k: F.when(F.col("split"), v).otherwise(F.lit(0)).cast("long") for k, v in parts.items()})
+    cell = ["rank", "range", *parts]
+    totals = joined.groupBy(*cell).agg(F.sum("size").alias("total"))
+    before = Window.partitionBy("rank").orderBy("range", *parts).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*cell, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*cell).orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     own = joined.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return own.join(totals, ["rank", "range"]).withColumn("begin", F.col("offset") + F.col("own")).drop("place", "range", "own", "offset")
+    return own.join(totals, cell).withColumn("begin", F.col("offset") + F.col("own")).drop("place", *cell[1:], "crowd", "split", "own", "offset")
 
 
 def _drawn(by: DataFrame, shard: int) -> DataFrame:
@@ -133,20 +149,33 @@ def mix_slots(by: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFram
 
 
 def _taken_pieces(place: DataFrame, by: DataFrame, block: int, shard: int) -> DataFrame:
-    """Of each document with words and each slot that reads it: (rank, begin, epoch, first word, words)."""
+    """Of each document with words and each slot that reads it: (rank, begin, shard, slot, epoch, first word, words)."""
     pieces = place.filter("size > 0").select("rank", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
     pieces = pieces.selectExpr("rank", "begin", "block", f"greatest(begin, block * {block}) a", f"least(begin + size, (block + 1) * {block}) z")
     met = pieces.join(mix_slots(by, block, shard), ["rank", "block"])
-    met = met.selectExpr("rank", "begin", "epoch", "a - begin first", f"least(z, block * {block} + take) - a words")
+    met = met.selectExpr("rank", "begin", "shard", "slot", "epoch", "a - begin first", f"least(z, block * {block} + take) - a words")
     return met.filter("words > 0")
 
 
+def _placed(docs: DataFrame, doc_id: str, text: str, source: str, block: int, how: dict) -> tuple[DataFrame, DataFrame]:
+    """(located() rows, plan)."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(text).alias("size"))
+    sized = materialise(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
+    by = materialise(plan(sized, block, **how), "plan")
+    return materialise(located(sized, by), "located"), by
+
+
+def mixed_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, **how) -> DataFrame:
+    """(shard, slot, source, doc_id, first, words): what each slot of each output shard reads, words ``first`` (from 0) and on
+    of a document. Sorted by shard, slot and order in the block, this is the mix."""
+    place, by = _placed(docs, doc_id, text, source, block, how)
+    met = _taken_pieces(place, by, block, shard).join(place.filter("size > 0").select("rank", "begin", "source", "doc_id"), ["rank", "begin"])
+    return met.select("shard", "slot", "source", "doc_id", "begin", "first", "words")
+
+
 def taken_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(source).alias("source"), sizes(text).alias("size"))
-    sized = materialise(sized, "sized")
-    by = materialise(plan(sized, block, **how), "plan")
-    place = located(sized, by)
+    place, by = _placed(docs, doc_id, text, source, block, how)
     taken = _taken_pieces(place, by, block, shard).groupBy("rank", "begin").agg(F.sum("words").alias("taken"))
     with_words = place.filter("size > 0").join(taken, ["rank", "begin"], "left")
     columns = ["doc_id", "size", "source_size", "target"]
@@ -158,21 +187,15 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
     A text that is taken whole stays as it is; of others, the words taken with the white space before each.
     """
-    extra = {"_tie": F.xxhash64(text), "_size": sizes(text)}
-    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    base = materialise(docs.withColumns(extra).toDF(*own.values(), "tie", "size"), "sized")
-    names = base.withColumns({"doc_id": F.col(own[doc_id]), "source": F.col(own[source])})
-    by = materialise(plan(names.select("source", "size"), block, **how), "plan")
-    place = located(names.select("doc_id", "source", "tie", "size"), by)
-    place = materialise(place.select("doc_id", "source", "tie", "size", "rank", "begin"), "located")
+    own = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called, ours don't clash
+    base = docs.toDF(*own.values()).withColumns({"size": sizes(own[text]), "row": F.monotonically_increasing_id()})
+    base = materialise(base, "sized")
+    names = base.select("row", F.col(own[doc_id]).alias("doc_id"), F.col(own[source]).alias("source"), "size")
+    by = materialise(plan(names, block, **how), "plan")
+    place = materialise(located(names, by).select("row", "size", "rank", "begin"), "located")
     pieces = _taken_pieces(place, by, block, shard).groupBy("rank", "begin", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    same = ["doc_id", "source", "tie", "size"]
-    number = Window.partitionBy(*same)
-    # equal rows are interchangeable: they are told apart by a number only
-    epochs = place.withColumn("nth", F.row_number().over(number.orderBy("begin"))).join(pieces, ["rank", "begin"]).groupBy(*same, "nth").agg(F.collect_list(F.struct("epoch", "parts")).alias("epochs"))
-    rows = names.withColumn("nth", F.row_number().over(number.orderBy("tie")))
-    on = [rows[c].eqNullSafe(epochs[c]) for c in same] + [rows["nth"] == epochs["nth"]]
-    met = rows.join(epochs, on).select(*own.values(), rows["size"].alias("size"), F.explode("epochs").alias("e"))
+    epochs = place.filter("size > 0").join(pieces, ["rank", "begin"]).groupBy("row").agg(F.collect_list(F.struct("epoch", "parts")).alias("epochs"))
+    met = base.join(epochs, "row").select(*own.values(), "size", F.explode("epochs").alias("e"))
     met = met.withColumn("count", F.aggregate("e.parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
     tokens = F.regexp_extract_all(F.col(own[text]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.flatten(F.transform("e.parts", lambda p: F.slice(F.col("tokens"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
@@ -203,7 +226,7 @@ slot as (select *, unnest(range(0, case when source_size = 0 then 0 else (goal /
 {', '.join(shuffle)},
 took as (select rank, x block, least(case when r < whole then {block} else source_size % {block} end, goal - epoch * source_size - r * {block}) take from s{rounds}),
 placed as (select d.doc_id, d.size, g.rank, g.source_size, g.target, row_number() over () id,
-  coalesce(sum(d.size) over (partition by g.rank order by {draw('coalesce(d.doc_id, 0)', '1')}, d.doc_id nulls last, d.size rows between unbounded preceding and 1 preceding), 0) b
+  coalesce(sum(d.size) over (partition by g.rank order by {draw('coalesce(d.doc_id, 0) + d.size * 7919', '1')}, d.doc_id nulls last, d.size rows between unbounded preceding and 1 preceding), 0) b
   from sized d join g on d.source is not distinct from g.source),
 piece as (select *, unnest(range(cast(b // {block} as bigint), cast((b + size - 1) // {block} + 1 as bigint))) block from placed where size > 0),
 got as (select id, sum(greatest(0, least(b + size, (piece.block + 1) * {block}, piece.block * {block} + take) - greatest(b, piece.block * {block}))) taken

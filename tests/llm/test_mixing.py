@@ -109,3 +109,39 @@ def test_odd_tables(spark):
     assert run(spark, []) == []
     got = run(spark, [(None, "a b", "s"), (None, "a b", "s"), (1, "", None), (2, "x " * 100_000, "t")])
     assert [r.size for r in got] == [0, 100_000, 2, 2] and sum(r.taken for r in got if r.size == 2) == 8
+
+
+def test_ranges_of_equal_ids_are_split(spark):
+    """A source whose doc_ids are null, and one with one id, are cut as fine as rows; nothing else changes."""
+    rng = random.Random(12)
+    rows = [(None if i % 3 else 7, " ".join("w" * 1 for _ in range(rng.choice([3, 3, 3, 40]))), rng.choice(["a", "a", "b"])) for i in range(600)] + documents(200, 3)
+    sized = frame(spark, rows).select("doc_id", "source", mixing.sizes().alias("n")).withColumnRenamed("n", "size").withColumn("row", mixing.F.monotonically_increasing_id())
+    by = mixing.plan(sized)
+    key = lambda df: sorted(((r.source or "", r.begin, r.size) for r in df.collect() if r["size"]))
+    fine, coarse = (mixing.located(sized, by, near_rows=n) for n in (1, 20_000))
+    assert key(fine) == key(coarse)
+    for source in {"a", "b", None}:
+        own = sorted((r.begin, r["size"]) for r in fine.collect() if r.source == source and r["size"])
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+
+
+def test_shards_hold_their_draws(spark):
+    """Slots are whole, each shard's source counts are near the sources' shares, and pieces add up to the words taken."""
+    rows = documents(300, 8)
+    got = mixing.mixed_shards(frame(spark, rows), block=16, shard=50).collect()
+    taken = {(r.doc_id): r.taken for r in run(spark, rows, block=16, shard=50)}
+    words: dict = {}
+    for r in got:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    assert words == {k: v for k, v in taken.items() if v}
+    slots: dict = {}
+    for r in got:
+        slots.setdefault((r.shard, r.slot), []).append(r)
+    assert all(len({r.source for r in s}) == 1 and sum(r.words for r in s) <= 16 for s in slots.values())
+    total = len(slots)
+    assert sorted(slots) == [(k // 50, k % 50) for k in range(total)]
+    share = sum(s[0].source == "a" for s in slots.values()) / total
+    for k in range(total // 50):
+        drawn = sum(slots[k, i][0].source == "a" for i in range(50))
+        assert abs(drawn - 50 * share) < 4 * (50 * share * (1 - share)) ** 0.5 + 1
+    assert len({tuple(slots[k, i][0].source for i in range(50)) for k in range(total // 50)}) > 1
