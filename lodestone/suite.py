@@ -69,6 +69,12 @@ def _top(name: str, on: str, query: str, where: str, terms: list[str] | None, li
 A, B = "parts", "lineitem"
 has = lambda t: f"contains(p, '{t}')"
 
+
+def _macro(*names: str) -> str:
+    return f"ext in ({', '.join(repr(e) for n in names for e in filters.MACROS[n].split(';'))})"
+
+
+
 _hits("term_single", A, "ring", has("ring"), ["ring"])
 _hits("term_and", A, "red ring", f"{has('red')} and {has('ring')}", ["red", "ring"])
 _hits("term_or", A, "ring|bolt", f"{has('ring')} or {has('bolt')}", ["ring", "bolt"])
@@ -95,10 +101,10 @@ _hits("whole_word", A, "ww:ring", "regexp_matches(nl, '(^|[^0-9a-z])ring([^0-9a-
 _hits("whole_filename", A, "wfn:size11", "nl = 'size11'", [])
 _hits("ext_one", A, "ext:cpp", "ext = 'cpp'", [])
 _hits("ext_many", A, "ext:cpp;h;GZ", "ext in ('cpp', 'h', 'gz')", [])
-_hits("macro_pic", A, "pic:", "ext in ('jpg','jpeg','png','gif','bmp','tiff','tif','webp','svg','ico','heic','heif','raw')", [])
-_hits("macro_doc", A, "doc:", "ext in ('pdf','doc','docx','xls','xlsx','ppt','pptx','txt','rtf','odt','ods','odp','csv','md')", [])
-_hits("macro_audio_or_zip", A, "audio:|zip:", "ext in ('mp3','wav','flac','aac','ogg','m4a','wma','alac','zip','rar','7z','tar','gz','bz2','xz','tgz','zst','lz4')", [])
-_hits("macro_video_exe", A, "video:|exe:", "ext in ('mp4','avi','mkv','mov','wmv','flv','webm','m4v','app','dmg','pkg','sh','command','csh','action')", [])
+_hits("macro_pic", A, "pic:", _macro("pic"), [])
+_hits("macro_doc", A, "doc:", _macro("doc"), [])
+_hits("macro_audio_or_zip", A, "audio:|zip:", _macro("audio", "zip"), [])
+_hits("macro_video_exe", A, "video:|exe:", _macro("video", "exe"), [])
 _hits("size_gt", A, "size:>1mb", "size > 1048576", None)
 _hits("size_range", A, "size:512kb..2mb", "size between 524288 and 2097152", None)
 _hits("size_open", B, "size:..1mb", "size between 0 and 1048576", None)

@@ -35,8 +35,8 @@ def test_paths(spark, query, want):
 
 
 def test_ranking(spark):
-    rows = [("xalfred", "/tmp"), ("Alfred 5.app", "/Applications", 5), ("alfred_helper", "/bin"), ("Alfred", "/opt")]
-    assert names(ops.search(catalog(spark, rows), "alfred")) == ["Alfred", "alfred_helper", "Alfred 5.app", "xalfred"]
+    rows = [("xorchid", "/tmp"), ("Orchid 5.app", "/Applications", 5), ("orchid_helper", "/bin"), ("Orchid", "/opt")]
+    assert names(ops.search(catalog(spark, rows), "orchid")) == ["Orchid", "orchid_helper", "Orchid 5.app", "xorchid"]
     rows = [("main.cpp", "/usr/local/src"), ("local.conf", "/etc"), ("readme.md", "/usr/local/docs")]
     found = names(ops.search(catalog(spark, rows), "local"))
     assert found[0] == "local.conf" and len(found) == 3
