@@ -1,6 +1,10 @@
 """Catalogs, texts and change logs as projections of the star-schema tables.
 
 The projections are SQL that Spark and other engines run alike, but for the few functions in DIALECTS.
+
+A line's file_id is its five keys side by side, which a long holds up to order key 2 ** 23. Where it doesn't fit, the
+SQL of other engines raises; Spark's takes the lower 64 bits as a signed number, which differ for keys below 2 ** 64,
+and beyond those a hash of the five keys. Both are negative, so they meet no id that fits.
 """
 
 from __future__ import annotations
@@ -13,6 +17,16 @@ DIALECTS = {
     "spark": {"bytes": "octet_length({})", "seconds": "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {})", "days": "datediff(cast({} as date), date'1992-01-01')"},
     "duckdb": {"bytes": "strlen({})", "seconds": "cast(floor(epoch({})) as bigint)", "days": "date_diff('day', date '1992-01-01', cast({} as date))"},
 }
+#: The key's lower 22 bits, with what carries beyond them, and the bits above for order keys of up to 24 bits. Neither
+#: raises for larger ones, as Spark may work out both before it looks at a condition.
+_LOW = "(l_suppkey * 4096 + {days})"
+_HIGH = f"((l_orderkey % {1 << 25} * 8 + l_linenumber) * 32768 + l_partkey + shiftright({_LOW}, 22))"
+LINE_KEYS = {
+    "spark": f"""case when l_orderkey between {-(1 << 24)} and {1 << 24} and {_HIGH} between {-(1 << 41)} and {(1 << 42) - 1} then shiftleft({_HIGH}, 22) | ({_LOW} & {(1 << 22) - 1})
+              when l_orderkey is null or l_linenumber is null or l_partkey is null or l_suppkey is null or l_shipdate is null then null
+              else xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, {{days}}) | shiftleft(1L, 63) end""",
+    "duckdb": "(((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 4096 + {days}",
+}
 
 _LEAF = """select p_partkey as file_id,
   (case when p_partkey % 3 = 0 then upper(substr(p_name, 1, 1)) || substr(p_name, 2) else p_name end) || '_' || cast(p_partkey as string) || '.' ||
@@ -37,7 +51,7 @@ def sql(name: str, dialect: str) -> str:
         case "parts":
             return f"with leaf as ({_LEAF}) select file_id, name, l1 || '/' || l2 || '/' || l3 as path, 1 as type, size, mod_time from leaf union all {_levels()}"
         case "lineitem":
-            key = f"(((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 4096 + {days('l_shipdate')}"
+            key = LINE_KEYS[dialect].format(days=days("l_shipdate"))
             return f"""select {key} as file_id, 'l' || cast(l_orderkey as string) || '_' || cast(l_linenumber as string) || '.' || lower(l_returnflag) || lower(l_linestatus) as name,
               '/' || r_name || '/' || n_name || '/' || replace(s_name, '#', '_') as path, 1 as type, cast(round(l_extendedprice * 100) as bigint) as size, {seconds('l_shipdate')} as mod_time
               from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
