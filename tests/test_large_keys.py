@@ -8,7 +8,7 @@ from lodestone import suite
 from lodestone.sources import adapters
 from tests.conftest import DATA
 
-QUERIES = ["date_aliases", "dedup_latest", "dm_before", "dm_cmp"]
+QUERIES = ["date_aliases", "dedup_latest", "dm_before", "dm_cmp", "dm_day"]
 
 
 @pytest.fixture(scope="module")
