@@ -8,7 +8,7 @@ from lodestone import suite
 from lodestone.sources import adapters
 from tests.conftest import DATA
 
-QUERIES = ["date_aliases", "dedup_latest", "dm_before", "dm_cmp", "dm_day", "dm_month", "dm_open_range", "dm_range", "dm_year", "recent_20"]
+QUERIES = ["date_aliases", "dedup_latest", "dm_before", "dm_cmp", "dm_day", "dm_month", "dm_open_range", "dm_range", "dm_year", "recent_20", "size_open"]
 
 
 @pytest.fixture(scope="module")
