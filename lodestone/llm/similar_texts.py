@@ -1,6 +1,9 @@
-"""Near-duplicates of a given similarity: MinHash candidates, verified by the true Jaccard similarity of their shingles.
+"""Near-duplicates of a given similarity: SimHash and MinHash candidates, verified by the true Jaccard similarity of their shingles.
 
-* A text's set of word shingles gives BANDS keys, each of the minima of ROWS hash functions. Two sets share a minimum
+* Each set of word shingles has a SimHash of 64 bits. Those at two differing bits or fewer are met by deletion variants
+  (simhash.links), without any chance; where different sets share a fingerprint, the smallest stands for it.
+* At the similarity asked for, fingerprints differ by about ten bits, which no deletion variants reach. So what SimHash
+  leaves apart is met by MinHash: a text's set of word shingles gives BANDS keys, each of the minima of ROWS hash functions. Two sets share a minimum
   with a chance that is their Jaccard similarity s, whatever their sizes, and are candidates if they share a key: a pair
   is missed with a chance of (1 - s ** ROWS) ** BANDS, which is 7e-10 at 0.8 and less above. Candidate search isn't exact
   in the strict sense, but at this rate a miss isn't to be expected in a thousand million pairs.
@@ -9,12 +12,13 @@
   that can be similar has one kind in common.
 * Every candidate pair is verified on its two whole sets; nothing is estimated and the threshold has no margin.
 
-Equal sets collapse before any key is made. The rest is done in three steps, each of which leaves out pairs that the
+Equal sets collapse before any key is made. The rest is done in four steps, each of which leaves out pairs that the
 links found so far connect, as groups are what is asked for:
 
-1. Each set meets the smallest set of all its buckets: a pair a set at most, which connects most near copies.
-2. Each set meets the smallest set of each of its buckets.
-3. Buckets that still hold several groups compare the sets of different groups, in tiles of ``crowd`` sets, each pair
+1. Fingerprints within two bits: a pair for each link of fingerprints, and each set with the smallest of its fingerprint.
+2. Each set meets the smallest set of all its buckets: a pair a set at most, which connects most near copies.
+3. Each set meets the smallest set of each of its buckets.
+4. Buckets that still hold several groups compare the sets of different groups, in tiles of ``crowd`` sets, each pair
    in the first bucket that it shares; a tile returns a spanning forest. Sets of a bucket's largest group aren't
    compared with each other, so a bucket of one large group and a few strays costs as many rows as it has sets.
 
@@ -35,8 +39,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import simhash
 from lodestone.llm.common import bound_batches, materialise
-from lodestone.llm.simhash import components, shingle_hashes
+from lodestone.llm.simhash import components, majority_bits, shingle_hashes
 
 WORDS, SIMILARITY, CROWD = 5, 0.8, 256
 BANDS, ROWS, SHORT = 40, 4, 40
@@ -71,17 +76,26 @@ def reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tie, size, digest, keys) of docs (doc_id, text); equal sets have equal digests."""
+    """(doc_id, tie, size, digest, fp, keys) of docs (doc_id, text); equal sets have equal digests. fp: the set's SimHash."""
 
-    @F.pandas_udf("size int, digest binary, keys array<long>")
+    @F.pandas_udf("size int, digest binary, fp long, keys array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             sets = [shingle_set(t, words) for t in batch]
-            yield pd.DataFrame([(len(h), xxhash.xxh3_128_digest(h.tobytes()), keys(h, similarity).view("i8")) for h in sets], columns=["size", "digest", "keys"])
+            fps = np.array([majority_bits(h) for h in sets], "u8").view("i8")
+            own = [(len(h), xxhash.xxh3_128_digest(h.tobytes()), fp, keys(h, similarity).view("i8")) for h, fp in zip(sets, fps)]
+            yield pd.DataFrame(own, columns=["size", "digest", "fp", "keys"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), of("text").alias("f")).select("doc_id", "tie", "f.*")
 
 
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """Nodes (id, size, fp, keys, least) of signatures: one of each set, least naming its smallest document."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")
+    one = rows.groupBy("size", "digest").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")).drop("digest")
+    return materialise(one.withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, keys, shingles) of nodes (id, keys, least): the whole set, as bytes, from the text of the node's document."""
 
@@ -101,6 +115,16 @@ def _sizes_fit(similarity: float) -> Column:
     return F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny") - 1e-9
 
 
+def _near_fingerprints(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(x, y) nodes whose fingerprints differ by two bits at most, and whose sizes fit: the smallest nodes of two linked
+    fingerprints, and each node with the smallest of its own."""
+    fps = materialise(nodes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("hub")), "fingerprints")
+    alike = nodes.join(fps, "fp").selectExpr("hub.id x", "id y", "hub.size nx", "size ny").filter("x <> y")
+    hub = lambda k: fps.selectExpr(f"fp f{k}", f"hub.id {k}", f"hub.size n{k}")
+    linked = simhash.links(fps.select("fp")).toDF("fx", "fy").join(hub("x"), "fx").join(hub("y"), "fy").select("x", "y", "nx", "ny")
+    return alike.unionAll(linked).filter(_sizes_fit(similarity)).selectExpr("least(x, y) x", "greatest(x, y) y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) whose sets have that similarity."""
 
@@ -146,19 +170,26 @@ def _tiled(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: flo
     return tiles.join(sets, "id").groupBy("key", "tile").applyInArrow(lambda t: _tile(t, similarity), "x long, y long")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (x, y) of different groups; roots: (node, root) of sets in larger groups."""
+    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
+
+
 def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(x, y) links between nodes (id, size, keys, least), as many as connect each group."""
+    """(x, y) links between nodes (id, size, fp, keys, least), as many as connect each group."""
     buckets = nodes.select("id", "size", F.explode("keys").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = materialise(buckets.join(hubs, "key"), "shared_keys")
-    sets = materialise(shingle_sets(docs, nodes.join(shared.select("id").distinct(), "id", "left_semi"), words), "shingle_sets")
+    near = materialise(_near_fingerprints(nodes, similarity), "near_fingerprints")
+    met = shared.select("id").unionAll(near.select("x")).unionAll(near.select("y")).distinct()
+    sets = materialise(shingle_sets(docs, nodes.join(met, "id", "left_semi"), words), "shingle_sets")
+    found = materialise(_verified(near, sets, similarity), "simhash_links")
     stars = shared.selectExpr("hub.id x", "id y", "hub.size nx", "size ny").filter("x <> y").filter(_sizes_fit(similarity)).select("x", "y")
-    first = stars.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    found = materialise(_verified(first, sets, similarity), "first_links")
-    roots = components(found, "first_groups")
-    of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
-    apart = stars.join(of("x"), "x", "left").join(of("y"), "y", "left").filter(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
-    more = _verified(apart.select("x", "y").distinct().join(first, ["x", "y"], "left_anti"), sets, similarity)
+    first = _apart(stars, components(found, "simhash_groups")).groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    found = materialise(found.unionAll(_verified(first, sets, similarity)), "first_links")
+    apart = _apart(stars, components(found, "first_groups"))
+    more = _verified(apart.distinct().join(first, ["x", "y"], "left_anti"), sets, similarity)
     found = materialise(found.unionAll(more), "star_links")
     return found.unionAll(_tiled(shared, components(found, "star_groups"), sets, similarity, crowd))
 
@@ -167,8 +198,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """The rows of docs (doc_id, text, ...) without all but one, that of the smallest doc_id, of each near-duplicate group."""
     bound_batches(docs.sparkSession)
     rows = materialise(signatures(docs.select("doc_id", "text"), words, similarity), "signatures")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")
-    nodes = materialise(rows.groupBy("size", "digest").agg(least, F.first("keys").alias("keys")).drop("digest").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = distinct_sets(rows)
     found = materialise(links(docs, nodes, words, similarity, crowd), "links")
     rooted = nodes.select("id", "least").join(components(found), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_doc"), F.col("least.tie").alias("_tie"))

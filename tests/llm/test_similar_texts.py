@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import similar_texts as st
-from lodestone.llm.simhash import shingle_hashes
+from lodestone.llm.simhash import components, majority_bits, shingle_hashes
 
 
 def corpus():
@@ -94,3 +95,33 @@ def test_short_texts_like_brute_force(spark):
     tight, _ = groups(texts)
     assert kept_of(spark, texts) == set(tight) and len(set(tight)) < len(texts) - 50
     assert all(len(st.keys(st.shingle_set(t))) <= 3 for t in texts)  # few enough to be prefixes
+
+
+def test_simhash_links_by_itself(spark):
+    """Where no MinHash key is shared, the groups are those of fingerprints within two bits, verified."""
+    rng, texts = random.Random(12), []
+    for i in range(12):
+        base = [f"v{i}w{rng.randrange(10**6)}" for _ in range(3000)]
+        for at in (None, 0, 1500):
+            texts.append(" ".join("edit" if j == at else w for j, w in enumerate(base)))
+    texts += ["", "a b", "c d e f g h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = st.distinct_sets(st.signatures(docs)).withColumn("id", F.col("least.doc_id")).withColumn("keys", F.array("id"))
+    got = {(r.node, r.root) for r in components(st.links(docs, nodes)).collect()}
+    fps = [majority_bits(st.shingle_set(t)) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:  # all within one base, so 0.99 alike
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    grouped = [i for i, r in enumerate(root) if root.count(r) > 1]
+    assert got == {(i, root[i]) for i in grouped} and len(grouped) > 10
+
+
+def test_sets_of_one_fingerprint_meet(spark):
+    """Different sets of equal fingerprints are verified like any: 0.8 alike links, less doesn't."""
+    base = " ".join(f"w{i}" for i in range(104))
+    texts = [base, base + " x", " ".join(f"v{i}" for i in range(104)), "y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = st.distinct_sets(st.signatures(docs)).withColumns({"id": F.col("least.doc_id"), "fp": F.lit(5).cast("long")}).withColumn("keys", F.array("id"))
+    assert [(r.x, r.y) for r in st.links(docs, nodes).collect()] == [(0, 1)]
