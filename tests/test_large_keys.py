@@ -13,14 +13,14 @@ QUERIES = ["date_aliases", "dedup_latest", "dm_before", "dm_cmp", "dm_day", "dm_
 
 @pytest.fixture(scope="module")
 def large(tmp_path_factory):
-    """(folder, connection): the lines again with order keys up to 2 ** 24, the other tables as they are. The connection has
-    the order key as a wide number, so that the same SQL gives the whole file_id."""
+    """(folder, connection): the lines again with order keys around 2 ** 23, MOST_ORDER and 2 ** 33, the other tables as they are.
+    The connection has the order key as a wide number, so that the same SQL gives the whole file_id."""
     folder, con, sf = tmp_path_factory.mktemp("large"), duckdb.connect(), DATA / "sf0.001"
     for t in ("supplier", "nation", "region"):
         con.execute(f"copy (from '{sf}/{t}.parquet') to '{folder}/{t}.parquet'")
         con.execute(f"create view {t} as from '{folder}/{t}.parquet'")
     # 2 ** 23 - 700: some of these keys just fit
-    con.execute(f"copy (select * replace (l_orderkey + shift as l_orderkey) from '{sf}/lineitem.parquet', (values (0), (8387908), (16775000)) x(shift)) to '{folder}/lineitem.parquet'")
+    con.execute(f"copy (select * replace (l_orderkey + shift as l_orderkey) from '{sf}/lineitem.parquet', (values (0), (8387908), (16711000), (8589934592)) x(shift)) to '{folder}/lineitem.parquet'")
     con.execute(f"create view lineitem as select * replace (l_orderkey::hugeint as l_orderkey) from '{folder}/lineitem.parquet'")
     return str(folder), con
 
@@ -29,31 +29,38 @@ def signed(n):
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+def seen(rows):
+    """Rows (name, file_id, ...) without the ids that are hashes."""
+    return sorted((r[0], 0 if int(r[0][1:].split("_")[0]) > adapters.MOST_ORDER else signed(int(r[1])), *r[2:]) for r in rows)
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_like_sql_in_wide_numbers(spark, large, name):
     folder, con = large
     df = entry.queries()[name](spark, folder)
-    sql = suite.SQL[name]
-    if name == "recent_20":  # the ids that tie are the signed ones
-        sql = sql.replace("file_id desc", "(case when file_id >= 9223372036854775808 then file_id - 18446744073709551616 else file_id end) desc")
-    found = con.execute(sql)
-    columns = [d[0] for d in found.description]
-    at = columns.index("file_id")
-    want = [(*r[:at], signed(int(r[at])), *r[at + 1 :]) for r in found.fetchall()]
-    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(want) and want
-    if name != "recent_20":
-        assert any(r[at] < 0 for r in want) and any(r[at] > 0 for r in want)
+    columns = ["name", "file_id", *(c for c in df.columns if c not in ("name", "file_id"))]
+    got = [tuple(r[c] for c in columns) for r in df.collect()]
+    if name == "recent_20":  # lines of one time go by the signed id
+        lines = sorted(adapters.catalog(spark, folder, "lineitem").collect(), key=lambda r: (-r.mod_time, -r.file_id))
+        assert got == [tuple({**r.asDict(), "rank": i}[c] for c in columns) for i, r in enumerate(lines[:20], 1)]
+        return
+    assert seen(got) == seen(con.execute(f"select {', '.join(columns)} from ({suite.SQL[name]}) x").fetchall())
+    assert any(r[1] < 0 for r in got) and any(r[1] > 0 for r in got)
 
 
 def test_ids_differ_at_any_order_key(spark):
     """Exact where the key fits, negative and distinct beyond; null where a key is."""
-    keys = [*range(-3, 4), (1 << 23) - 1, 1 << 23, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, 1 << 40, 1 << 62]
+    keys = [*range(-3, 4), (1 << 23) - 1, 1 << 23, adapters.MOST_ORDER, adapters.MOST_ORDER + 1, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, 1 << 40, 1 << 62, (1 << 63) - 1]
     lines = [(o, n, p, s) for o in keys for n in (1, 7) for p in (0, 19_999, 1_199_999) for s in (0, 999)]
     lines += [(None, 1, 1, 1), (1 << 40, None, 1, 1), (1, 1, None, 1), (1, 1, 1, None)]
     df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").selectExpr("*", "timestamp_ntz'1995-01-02 00:00:00' l_shipdate")
     key = adapters.LINE_KEYS["spark"].format(days=adapters.DIALECTS["spark"]["days"].format("l_shipdate"))
     got = {tuple(r[:4]): r.id for r in df.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{key} id").collect()}
     whole = {x: None if None in x else (((x[0] * 8 + x[1]) * 32768 + x[2]) * 1024 + x[3]) * 4096 + 1097 for x in lines}
-    assert all(got[x] == (n if n is None or n < 1 << 63 else signed(n)) for x, n in whole.items() if n is None or n < 1 << 64)
+    assert all(got[x] == (n if n is None or n < 1 << 63 else signed(n)) for x, n in whole.items() if n is None or x[0] <= adapters.MOST_ORDER)
     beyond = [got[x] for x, n in whole.items() if n is not None and n >= 1 << 63]
     assert max(beyond) < 0 and len(set(beyond)) == len(beyond)
+    for o in keys[-8:]:  # a line's rows are in the order of their whole keys
+        for n in (1, 7):
+            ids = [got[o, n, p, s] for p in (0, 19_999, 1_199_999) for s in (0, 999)]
+            assert ids == sorted(ids)
