@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,15 @@ def derive(df: DataFrame, initials: bool = False) -> DataFrame:
     return base.withColumn("initials", text.initials(F.col("name"))) if initials else base
 
 
+def by_id() -> list[Column]:
+    """The order of file_ids, which are unsigned numbers of 64 bits: negative ones are the largest."""
+    return [F.col("file_id") < 0, F.col("file_id")]
+
+
 def latest(df: DataFrame) -> DataFrame:
     """Bulk load: of records with the same full path, whatever its case, the one of the largest file_id."""
     key = F.lower(text.full_path(F.col("path"), F.col("name")))
-    newest = df.withColumn("_key", key).groupBy("_key").agg(F.max_by(F.struct(*df.columns), "file_id").alias("r"))
+    newest = df.withColumn("_key", key).groupBy("_key").agg(F.max_by(F.struct(*df.columns), F.struct(*by_id())).alias("r"))
     return newest.select("r.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.catalog import by_id
 from lodestone.functions import text
 from lodestone.operators.search import ranked
 from lodestone.query.filters import DIRECTORY
@@ -15,7 +16,7 @@ SORTS = {"name": "name_lc", "ext": "ext", "path": "_full", "size": "size", "modi
 
 def recent(catalog: DataFrame, limit: int) -> DataFrame:
     """The last modified, at most MOST_RECENT; of equal times the larger id first."""
-    order = [F.desc("mod_time"), F.desc("file_id")]
+    order = [F.desc("mod_time"), *(c.desc() for c in by_id())]
     return ranked(catalog.filter("type <> 0"), min(limit, MOST_RECENT), order).select("file_id", "name", "path", "type", "size", "mod_time", "rank")
 
 
@@ -25,7 +26,7 @@ def sort_results(results: DataFrame, by: str, descending: bool = False, limit: i
     full = F.lower(text.full_path(F.col("path"), F.col("name")))
     own = results.drop("rank").withColumns({"_full": full, "name_lc": F.lower("name"), "ext": text.extension(F.col("name"))})
     key = F.col(SORTS[by])
-    order = [*([] if by == "path" else [F.when(F.col("type") == DIRECTORY, 0).otherwise(1)]), key.desc() if descending else key.asc(), F.col("_full"), F.col("file_id")]
+    order = [*([] if by == "path" else [F.when(F.col("type") == DIRECTORY, 0).otherwise(1)]), key.desc() if descending else key.asc(), F.col("_full"), *by_id()]
     top = own if limit is None else own.orderBy(*order).limit(max(0, limit))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("file_id", "name", "path", "type", "size", "mod_time", "rank")
 

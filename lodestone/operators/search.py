@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.catalog import by_id
 from lodestone.functions import text
 from lodestone.operators.postings import NameIndex
 from lodestone.plans import scoring
@@ -24,7 +25,7 @@ def ranked(hits: DataFrame, limit: int | None, order: list[Column] | None = None
     Without a limit all hits come, unranked by position: their ``rank`` is null, as a total order of all rows is for
     a sink to make.
     """
-    order = order or [F.col("score"), F.col("file_id")]
+    order = order or [F.col("score"), *by_id()]
     if limit is None:
         return hits.withColumn("rank", F.lit(None).cast("long"))
     top = hits.orderBy(*order).limit(max(0, limit))

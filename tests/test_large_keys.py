@@ -2,9 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone import suite
+from lodestone.catalog import latest
+from lodestone.operators import listing
+from lodestone.operators.search import ranked
 from lodestone.sources import adapters
 from tests.conftest import DATA
 
@@ -40,14 +44,27 @@ def test_like_sql_in_wide_numbers(spark, large, name):
     df = entry.queries()[name](spark, folder)
     columns = ["name", "file_id", *(c for c in df.columns if c not in ("name", "file_id"))]
     got = [tuple(r[c] for c in columns) for r in df.collect()]
-    if name == "recent_20":  # lines of one time go by the signed id
-        lines = sorted(adapters.catalog(spark, folder, "lineitem").collect(), key=lambda r: (-r.mod_time, -r.file_id))
+    if name == "recent_20":  # lines of one time go by their ids, hashes among them
+        lines = sorted(adapters.catalog(spark, folder, "lineitem").collect(), key=lambda r: (-r.mod_time, -(r.file_id % (1 << 64))))
         assert got == [tuple({**r.asDict(), "rank": i}[c] for c in columns) for i, r in enumerate(lines[:20], 1)]
         return
     assert seen(got) == seen(con.execute(f"select {', '.join(columns)} from ({suite.SQL[name]}) x").fetchall())
     assert any(r[1] < 0 for r in got) and any(r[1] > 0 for r in got)
 
 
+def test_ties_go_by_the_whole_key(spark, large):
+    """Lines of one time, score or path whose keys are within 64 bits."""
+    folder, con = large
+    lines = adapters.catalog(spark, folder, "lineitem").withColumns({"mod_time": F.lit(0).cast("long"), "order": F.substring_index(F.substring("name", 2, 99), "_", 1).cast("long")})
+    lines = lines.filter(F.col("order") <= adapters.MOST_ORDER).drop("order")
+    ids = sorted(r.file_id % (1 << 64) for r in lines.select("file_id").collect())
+    assert ids[0] < 1 << 63 <= ids[-1]
+    assert [r.file_id % (1 << 64) for r in listing.recent(lines, 200).orderBy("rank").collect()] == ids[:-201:-1]
+    found = ranked(lines.withColumn("score", F.lit(0)), 10_000).orderBy("rank").collect()
+    assert [r.file_id % (1 << 64) for r in found] == ids[:10_000]
+    assert [r.file_id % (1 << 64) for r in latest(lines.withColumns({"path": F.lit("/"), "name": F.lit("x")})).collect()] == ids[-1:]
+
+
 def test_ids_differ_at_any_order_key(spark):
     """Exact where the key fits, negative and distinct beyond; null where a key is."""
     keys = [*range(-3, 4), (1 << 23) - 1, 1 << 23, adapters.MOST_ORDER, adapters.MOST_ORDER + 1, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, 1 << 40, 1 << 62, (1 << 63) - 1]
