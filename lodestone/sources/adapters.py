@@ -4,8 +4,8 @@ The projections are SQL that Spark and other engines run alike, but for the few
 
 A line's file_id is its five keys side by side, which a long holds up to order key 2 ** 23. Where it doesn't fit, the
 SQL of other engines raises; Spark's takes the lower 64 bits as a signed number, which differ up to MOST_ORDER,
-and beyond that a hash of order and line to which the other keys are added, so that a line's rows keep their order.
-Both are negative, so they meet no id that fits.
+and beyond that a hash of order and line to which the other keys are added, so that a line's rows keep their order
+(part keys up to 2 ** 33 and supplier keys up to 2 ** 43 are added whole). Both are negative, so they meet no id that fits.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ DIALECTS = {
     "spark": {"bytes": "octet_length({})", "seconds": "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {})", "days": "datediff(cast({} as date), date'1992-01-01')"},
     "duckdb": {"bytes": "strlen({})", "seconds": "cast(floor(epoch({})) as bigint)", "days": "date_diff('day', date '1992-01-01', cast({} as date))"},
 }
-#: The key's lower 22 bits, with what carries beyond them, and the bits above for order keys of up to 24 bits. Neither
-#: raises for larger ones, as Spark may work out both before it looks at a condition.
+#: The key's lower 22 bits, with what carries beyond them, and the bits above for order keys of up to 24 bits and part keys
+#: of up to 60. Neither raises for any keys, integers or longs, as Spark may work out both before it looks at a condition.
 MOST_ORDER = (1 << 24) - (1 << 16)  #: a line's rows are all below 2 ** 64 or all beyond this
-_LOW = "(l_suppkey * 4096 + {days})"
-_HIGH = f"((l_orderkey % {1 << 25} * 8 + l_linenumber) * 32768 + l_partkey + shiftright({_LOW}, 22))"
+_LOW = "((l_suppkey & 1023L) * 4096 + {days})"
+_HIGH = f"((l_orderkey % {1 << 25}L * 8 + l_linenumber % {1 << 33}) * 32768 + l_partkey % {1 << 61} + shiftright(l_suppkey, 10) + shiftright({_LOW}, 22))"
+_NARROW = f"l_orderkey between {-(1 << 24)} and {MOST_ORDER} and l_linenumber between {-(1 << 32)} and {1 << 32} and l_partkey between {-(1 << 60)} and {1 << 60}"
 LINE_KEYS = {
-    "spark": f"""case when l_orderkey between {-(1 << 24)} and {MOST_ORDER} and {_HIGH} between {-(1 << 41)} and {(1 << 42) - 1} then shiftleft({_HIGH}, 22) | ({_LOW} & {(1 << 22) - 1})
+    "spark": f"""case when {_NARROW} and {_HIGH} between {-(1 << 41)} and {(1 << 42) - 1} then shiftleft({_HIGH}, 22) | ({_LOW} & {(1 << 22) - 1})
               when l_orderkey is null or l_linenumber is null or l_partkey is null or l_suppkey is null or l_shipdate is null then null
               else {-(1 << 63) + (1 << 32)} + pmod(xxhash64(l_orderkey, l_linenumber), {(1 << 63) - (1 << 57)}) + pmod(l_partkey, {1 << 33}) * 4194304 + pmod(l_suppkey, {1 << 43}) * 4096 + {{days}} end""",
     "duckdb": "(((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 4096 + {days}",

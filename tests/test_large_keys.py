@@ -81,3 +81,45 @@ def test_ids_differ_at_any_order_key(spark):
         for n in (1, 7):
             ids = [got[o, n, p, s] for p in (0, 19_999, 1_199_999) for s in (0, 999)]
             assert ids == sorted(ids)
+
+
+#: Added to a line's part key, and to its and its supplier's supplier key, by millions of its order key.
+OTHER = [(0, 0), (0, 1 << 51), (0, 1 << 53), (0, (1 << 62) + (1 << 61)), (1 << 62, 0), (-(1 << 62), -(1 << 53))]
+
+
+@pytest.fixture(scope="module")
+def others(tmp_path_factory):
+    """(folder, connection): the lines again with each of OTHER. Of the first two, ids are within 64 bits."""
+    folder, con, sf = tmp_path_factory.mktemp("others"), duckdb.connect(), DATA / "sf0.001"
+    for t in ("nation", "region"):
+        con.execute(f"copy (from '{sf}/{t}.parquet') to '{folder}/{t}.parquet'")
+        con.execute(f"create view {t} as from '{folder}/{t}.parquet'")
+    con.execute("create table x as select * from (values " + ", ".join(f"({i}, {p}::bigint, {s}::bigint)" for i, (p, s) in enumerate(OTHER)) + ") x(i, p, s)")
+    con.execute(f"copy (select * replace (s_suppkey + s as s_suppkey) from '{sf}/supplier.parquet', (select distinct s from x)) to '{folder}/supplier.parquet'")
+    con.execute(f"copy (select * exclude (i, p, s) replace (l_orderkey + i * 1000000 as l_orderkey, l_partkey + p as l_partkey, l_suppkey + s as l_suppkey) from '{sf}/lineitem.parquet', x) to '{folder}/lineitem.parquet'")
+    con.execute(f"create view supplier as from '{folder}/supplier.parquet'")
+    con.execute(f"create view lineitem as select * replace (l_orderkey::hugeint as l_orderkey) from '{folder}/lineitem.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["dm_before"])
+def test_other_keys_of_any_size(spark, others, name):
+    """Part and supplier keys beyond what the id holds raise nothing either."""
+    folder, con = others
+    df = entry.queries()[name](spark, folder)
+    columns = ["name", "file_id", *(c for c in df.columns if c not in ("name", "file_id"))]
+    at = lambda row: int(row[0][1:].split("_")[0]) // 1_000_000
+    whole = lambda rows: sorted((r[0], signed(int(r[1])) if at(r) < 2 else 0, *r[2:]) for r in rows)
+    got = [tuple(r[c] for c in columns) for r in df.collect()]
+    assert whole(got) == whole(con.execute(f"select {', '.join(columns)} from ({suite.SQL[name]}) x").fetchall())
+    assert {at(r) for r in got} == set(range(len(OTHER))) and all((r[1] < 0) == (at(r) > 0) for r in got)
+    assert len({r[1] for r in got}) == len(got)
+
+
+def test_ids_of_integer_keys(spark):
+    """Keys that are stored as integers have the ids of longs."""
+    lines = [(o, n, p, s) for o in (0, 1, (1 << 23) - 1, 1 << 23, adapters.MOST_ORDER) for n in (1, 7) for p in (0, 1_199_999) for s in (0, 59_999)]
+    df = spark.createDataFrame(lines, "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int").selectExpr("*", "timestamp_ntz'1995-01-02 00:00:00' l_shipdate")
+    key = adapters.LINE_KEYS["spark"].format(days=adapters.DIALECTS["spark"]["days"].format("l_shipdate"))
+    got = {tuple(r[:4]): r.id for r in df.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{key} id").collect()}
+    assert got == {x: signed((((x[0] * 8 + x[1]) * 32768 + x[2]) * 1024 + x[3]) * 4096 + 1097) for x in lines}
