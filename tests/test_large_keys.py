@@ -102,7 +102,7 @@ def others(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["dm_before", "dm_cmp", "dm_day", "dm_month", "dm_open_range", "dm_range"])
+@pytest.mark.parametrize("name", ["dm_before", "dm_cmp", "dm_day", "dm_month", "dm_open_range", "dm_range", "dm_year"])
 def test_other_keys_of_any_size(spark, others, name):
     """Part and supplier keys beyond what the id holds raise nothing either."""
     folder, con = others
